@@ -7,16 +7,18 @@ heap; each merge updates the lists of the two pairs it creates. Words don't touc
 of all words is the lowest of each word that has it, and the result is that of encoding each word alone.
 
 Cases: null text counts as empty, with no ids; the strings of the file's added tokens in a text become their ids; a
-symbol outside the vocabulary is dropped as the library does without an unknown token. An empty table gives no rows;
-other columns are ignored. Pieces are remembered up to MEMORY a task, then forgotten, so memory is bounded.
+file that lacks a symbol for some byte is refused. An empty table gives no rows;
+other columns are ignored. Chunks between white space are remembered up to MEMORY a task, then forgotten, so memory is bounded.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import text_of
 
-MEMORY = 400_000
-SLICE = 512  # texts encoded together
+MEMORY = 600_000
+#: Bytes of text that are encoded together.
+SLICE = 32_000_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -36,6 +39,24 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Stretches:
+    """Runs of numbers in one pool, appended in order."""
+
+    def __init__(self) -> None:
+        self.pool, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, np.cumsum(lengths) - lengths + len(self.pool)])
+        self.length = np.concatenate([self.length, lengths])
+        self.pool = np.concatenate([self.pool, values])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs one after another, and the number of values before each run and at the end."""
+        size = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.pool[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class PairIndexBPE:
     """Encoder and decoder for a tokenizers file of kind BPE with word ends, a split regex and byte-level symbols."""
 
@@ -47,121 +68,149 @@ class PairIndexBPE:
         split, level = j["pre_tokenizer"]["pretokenizers"]
         if j["model"]["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or (split["type"], level["type"]) != ("Split", "ByteLevel") or j["decoder"] or j["post_processor"]:
             raise ValueError("not a word-end BPE file of the kind that is supported")
-        self.vocab: dict[str, int] = j["model"]["vocab"]
-        self.end = j["model"]["end_of_word_suffix"]
+        vocab, end = j["model"]["vocab"], j["model"]["end_of_word_suffix"]
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        added = {a["content"]: a["id"] for a in j["added_tokens"]}
-        self.added = added
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
+        self.added = {a["content"]: a["id"] for a in j["added_tokens"]}
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         symbols = byte_symbols()
-        self.first = [self.vocab.get(symbols[b], -1) for b in range(256)]
-        self.last = [self.vocab.get(symbols[b] + self.end, -1) for b in range(256)]
-        self.rank: dict[int, int] = {}
-        self.made: list[int] = []
-        for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]):
-            self.rank[self.vocab[a] << 20 | self.vocab[b]] = r
-            self.made.append(self.vocab[a + b])
-        self.parts = {r: (p >> 20, p & 0xFFFFF) for p, r in self.rank.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def split(self, text: str) -> list[str | int]:
-        """Pieces, and ids for the added tokens in the text."""
-        out: list[str | int] = []
-        for part in self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]:
-            if part in self.added:
-                out.append(self.added[part])
-            else:
-                # Lower case by single characters: only the final sigma differs from str.lower().
-                out += self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        return out
+        self.first = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[symbols[b] + end] for b in range(256)], np.int32)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in j["model"]["merges"]]
+        self.parts = np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64)
+        self.made = [vocab[a + b] for a, b in merges]
+        codes = self.parts[:, 0] << 20 | self.parts[:, 1]
+        self.rank_of = np.argsort(codes)
+        self.codes = codes[self.rank_of]
+        self.forget()
+
+    def forget(self) -> None:
+        """Known chunks (what stands between white space) as stretches of pieces, known pieces as stretches of ids."""
+        self.chunk, self.chunks = {}, Stretches()
+        self.piece, self.ids = {t: i for i, t in enumerate(self.added)}, Stretches()
+        self.ids.add(np.array(list(self.added.values()), np.int32), np.ones(len(self.added), np.int64))
+
+    def split(self, chunk: str) -> list[str]:
+        """Pieces of a chunk. No piece spans white space."""
+        if chunk.isascii():
+            piece = chunk.lower()
+        else:  # lower case by single characters: only the final sigma differs from str.lower()
+            piece = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return [piece] if piece.isalpha() else [chunk] if chunk in self.added else self.pieces.findall(piece)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 if it can't be merged."""
+        code = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.rank_of[at], -1)
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces together through the pair occurrence index."""
-        sym: list[int] = []
-        starts: list[int] = []
-        for w in new:
-            starts.append(len(sym))
-            raw = w.encode()
-            sym += [x for x in [*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]] if x >= 0]
-            sym.append(-1)  # a wall between words
-        n, rank, made = len(sym), self.rank, self.made
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
-        get = rank.get
-        before = -1
-        for i, x in enumerate(sym):
-            if before >= 0 and x >= 0 and (r := get(before << 20 | x)) is not None:
+        raw = np.frombuffer("".join(p + "\n" for p in new).encode(), np.uint8)
+        wall = raw == 10
+        sym = np.where(wall, -1, self.first[raw]).astype(np.int32)
+        ends = np.flatnonzero(wall) - 1
+        sym[ends] = self.last[raw[ends]]
+        sym = np.append(sym, np.int32(-1))  # also what the first symbol's left link, -1, meets
+        n = len(sym) - 1
+        right, left = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        where: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(rank: np.ndarray, spots: np.ndarray) -> None:
+            """Add the positions to the lists of their pairs."""
+            ok = np.flatnonzero(rank >= 0)
+            if not len(ok):
+                return
+            rank, spots = rank[ok], spots[ok]
+            order = np.argsort(rank, kind="stable")
+            rank, spots = rank[order], spots[order]
+            at = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            for i, r in enumerate(rank[at[:-1]].tolist()):
+                part = spots[at[i] : at[i + 1]]
                 if r in where:
-                    where[r].append(i - 1)
+                    where[r].append(part)
                 else:
-                    where[r] = [i - 1]
-            before = x
-        heap = list(where)
-        heapq.heapify(heap)
+                    where[r] = [part]
+                    heapq.heappush(heap, r)
+
+        if n:
+            note(self.ranks(sym[: n - 1], sym[1:n]), np.arange(n - 1, dtype=np.int32))
         while heap:
             r = heapq.heappop(heap)
-            a, b = self.parts[r]
-            c = made[r]
-            spots = where.pop(r)
-            spots.sort()
-            for i in spots:
-                if sym[i] != a:
-                    continue
-                j = right[i]
-                if sym[j] != b:
-                    continue
-                k = right[j]
-                sym[i], sym[j] = c, -2  # -2: gone
-                right[i] = k
-                if k < n:
-                    left[k] = i
-                    if (y := sym[k]) >= 0 and (q := get(c << 20 | y)) is not None:
-                        if q in where:
-                            where[q].append(i)
-                        else:
-                            where[q] = [i]
-                            heapq.heappush(heap, q)
-                h = left[i]
-                if h >= 0 and (y := sym[h]) >= 0 and (q := get(y << 20 | c)) is not None:
-                    if q in where:
-                        where[q].append(h)
-                    else:
-                        where[q] = [h]
-                        heapq.heappush(heap, q)
-        ids: list[int] = []
-        words = iter(new)
-        for x in sym:
-            if x >= 0:
-                ids.append(x)
-            elif x == -1:
-                self.known[next(words)] = tuple(ids)
-                ids = []
-
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        split = [self.split(t) for t in texts]
-        new = {p for s in split for p in s if p not in self.known and not isinstance(p, int)}
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = {p for s in split for p in s if not isinstance(p, int)}
+            (a, b), c, lists = self.parts[r], self.made[r], where.pop(r)
+            spots = lists[0] if len(lists) == 1 else np.concatenate(lists)
+            spots = spots[(sym[spots] == a) & (sym[right[spots]] == b)]
+            if a == b or len(lists) > 1:
+                spots = np.unique(spots)
+            if a == b and len(spots) > 1:  # in a row of equal symbols the pairs go from the left
+                taken, free = [], -1
+                for i, j in zip(spots.tolist(), right[spots].tolist(), strict=True):
+                    if i != free:
+                        taken.append(i)
+                        free = j
+                spots = np.array(taken, np.int32)
+            if not len(spots):
+                continue
+            gone = right[spots]
+            after, before = right[gone], left[spots]
+            sym[spots], sym[gone] = c, -2
+            right[spots], left[after] = after, spots
+            # A neighbour may have been merged by this same rank; the symbols are looked up after all merges.
+            made = np.full(len(spots), c, np.int32)
+            note(np.concatenate([self.ranks(made, sym[after]), self.ranks(sym[before], made)]), np.concatenate([spots, before]))
+        alive = sym[:n] >= 0
+        self.ids.add(sym[:n][alive], np.diff(np.cumsum(alive)[np.flatnonzero(wall)], prepend=0))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text ends (with a leading 0)."""
+        import pyarrow.compute as pc
+
+        for t in self.added:
+            if pc.any(pc.match_substring(texts, t)).as_py():
+                texts = pc.replace_substring(texts, t, f" {t} ")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.chunk) + len(names) > MEMORY:
+            self.forget()
+        new = [c for c in names if c not in self.chunk]
         if new:
-            self.learn(list(new))
-        known = self.known
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for p in s:
-                if p.__class__ is int:
-                    ids.append(p)
-                else:
-                    ids += known[p]
-            out.append(ids)
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
+            pieces = [self.split(c) for c in new]
+            unknown = set().union(*pieces) - self.piece.keys()
+            if unknown:
+                unknown = list(unknown)
+                self.piece.update(zip(unknown, range(len(self.piece), len(self.piece) + len(unknown)), strict=True))
+                self.learn(unknown)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            flat = chain.from_iterable(pieces)
+            self.chunk.update(zip(new, range(len(self.chunk), len(self.chunk) + len(new)), strict=True))
+            self.chunks.add(np.fromiter(map(self.piece.__getitem__, flat), np.int32, int(sizes.sum())), sizes)
+        at = np.fromiter(map(self.chunk.__getitem__, names), np.int32, len(names))
+        pieces, upto = self.chunks.take(at[np.asarray(coded.indices)])
+        ends = upto[np.asarray(split.offsets)]
+        flat, upto = self.ids.take(pieces)
+        return flat, upto[ends]
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The file names no decoder, so tokens are joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        import pyarrow.compute as pc
+
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.tokens.take(pa.array(flat))), " ")
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about `most` characters."""
+    import pyarrow.compute as pc
+
+    at, total = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        total += n or 0
+        if total >= most:
+            yield batch.slice(at, i + 1 - at)
+            at, total = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def default_tokenizer() -> str:
@@ -180,14 +229,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the collector would walk the known pieces again and again
         bpe = PairIndexBPE(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                coded = bpe.encode_batch(part.column(1).to_pylist())
-                ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
-                flat = np.fromiter((x for ids in coded for x in ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bpe.decode(ids) for ids in coded], pa.string())], names=["doc_id", "ids", "decoded"])
+            for part in slices(batch, 1):
+                flat, ends = bpe.encode_batch(part.column(1))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, bpe.decode(flat, ends)], names=["doc_id", "ids", "decoded"])
 
     return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
