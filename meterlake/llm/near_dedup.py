@@ -9,9 +9,9 @@ with probability 4e-4.
 
 Copies (equal words) are one node from the start. In a bucket, all nodes are compared with its first node, so no
 group is expanded into pairs; texts travel once to the pairs and the Jaccard similarity of the shingle sets is
-computed exactly. Connected components follow by label propagation. Buckets whose nodes are then still in several
-components are compared with their last node, and what remains is compared across components pair by pair: every
-pair of a bucket is in one component or has been verified, so no link is lost after banding.
+computed exactly. Connected components follow by label propagation. In buckets whose other nodes are then still in several
+components, the nodes of different components are compared block against block; only links leave a block. So every
+pair of a bucket is in one component or has been verified, and no link is lost after banding.
 
 Result: one row a document with class_id (the smallest doc_id of its class) and class_size. Cases: null text counts as
 empty; a text without words is a class of its own; a class without any id has a null class_id; repeated rows are
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of text whose signatures are computed together.
 SLICE = 8_000_000
+#: Nodes of a bucket that are compared with one another in one unit.
+CHUNK = 1024
 
 _GOLDEN, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -171,6 +174,53 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def across(rest: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between nodes of one bucket (key, digest, n, comp, size) and different components.
+
+    A bucket is dealt into chunks of about CHUNK nodes, and each two chunks make a unit of bounded size. A pair that
+    shares several buckets is compared in the first one only.
+    """
+    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("digest"), parts).cast("int")
+    dealt = rest.select("*", own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "comp")
+    dealt = dealt.join(bands, "digest").join(texts, "digest")
+
+    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, i, j = (int(pdf[c].iloc[0]) for c in ("key", "i", "j"))
+        pdf = pdf.sort_values(["own", "digest"])
+        digest, n = pdf["digest"].to_list(), pdf["n"].to_numpy()
+        side = pdf["own"].to_numpy() == j
+        label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        keys = np.stack(pdf["bands"].to_list())
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        doc, h, _ = weighted(pa.array(pdf["text"].to_list(), pa.string()))
+        code = np.unique(h, return_inverse=True)[1]
+        at = np.searchsorted(doc, np.arange(len(digest)))
+        inside = np.zeros(int(code.max(initial=0)) + 1, bool)
+        found = []
+        for x in range(len(digest)):
+            if i != j and side[x]:
+                break
+            y = (label != label[x]) & side & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9)
+            y[: x + 1] = False
+            if y.any():
+                y &= ~(keys[:, :band] == keys[x, :band]).any(axis=1)
+            if not y.any():
+                continue
+            mine = code[at[x] : at[x] + n[x]]
+            inside[mine] = True
+            both = np.add.reduceat(inside[code], at)
+            inside[mine] = False
+            near = np.flatnonzero(y & (both >= threshold * (n + n[x] - both) - 1e-9))
+            for z in near:
+                found.append((digest[x], digest[z]))
+            label[np.isin(label, label[near])] = label[x]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(unit, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each node's component, by label propagation with pointer jumping."""
     both = links.select("a", "b").union(links.select("b", "a")).toDF("u", "v")
@@ -191,7 +241,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(signatures(df, id_col, text_col), "signatures")
     nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = nodes.select(F.explode("bands").alias("key"), "digest", "n")
-    bucket = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("low"), F.max(F.struct("digest", "n")).alias("high")).filter("low <> high")
+    bucket = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high")).filter("low.digest <> high").drop("high")
     shared = written(member.join(bucket, "key"), "buckets")
 
     texts = df.select(canonical(text_of(text_col)).alias("text")).select(F.unhex(F.md5("text")).alias("digest"), "text")
@@ -202,30 +252,18 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.filter(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
 
-    def star(members: DataFrame, hub: str) -> DataFrame:
-        return ordered(members.select(F.col("digest").alias("x"), "n", F.col(f"{hub}.digest").alias("y"), F.col(f"{hub}.n").alias("m")))
-
-    checked = written(star(shared, "low"), "pairs")
+    star = shared.select(F.col("digest").alias("x"), "n", F.col("low.digest").alias("y"), F.col("low.n").alias("m"))
+    checked = written(ordered(star), "pairs")
     # The hub comes second, where verify() remembers its shingles.
     links = written(verify(checked.select(F.col("b").alias("a"), F.col("a").alias("b")), texts, threshold), "links")
-    for last in (False, True):
+    comp = components(links)
+    known = shared.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    known = known.filter("digest <> low.digest")
+    open_ = known.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "size")
+    rest = written(known.select("key", "digest", "n", "comp").join(open_, "key"), "open")
+    if not rest.isEmpty():
+        links = written(links.union(across(rest, nodes.select("digest", "bands"), texts, threshold)), "links")
         comp = components(links)
-        known = shared.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-        open_ = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("digest", "n", "comp")).alias("top")).filter("c0 <> c1").select("key", "top")
-        rest = written(known.join(open_, "key"), "open")
-        if rest.isEmpty():
-            break
-        if not last:
-            pairs = star(rest.filter("comp <> top.comp"), "high")
-        else:
-            x = rest.select("key", F.col("digest").alias("x"), "n", F.col("comp").alias("cx"))
-            y = rest.select("key", F.col("digest").alias("y"), F.col("n").alias("m"), F.col("comp").alias("cy"))
-            pairs = ordered(x.join(y, "key").filter("cx < cy"))
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.union(verify(pairs, texts, threshold)), "links")
-        checked = checked.union(pairs)
-        if last:
-            comp = components(links)
     grouped = nodes.select("digest", "low", "copies").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     classes = grouped.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = grouped.select("digest", "comp").join(classes, "comp").select("digest", "class_id", "class_size")
