@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, exact_dedup, langid, near_dedup, sharding, topk
+from meterlake.llm import bpe, exact_dedup, hmm, langid, near_dedup, sharding, topk
 from meterlake.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.held_out_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_topk, op8_near_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_topk, op8_near_dedup, op9_bpe, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
