@@ -118,6 +118,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WS, " "))
 
 
+def own_hash(text_col: str) -> Column:
+    return F.xxhash64(text_of(text_col))
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Stretches of a batch of about `most` bytes of text."""
     import pyarrow.compute as pc
@@ -133,7 +137,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the words, n shingles, bands."""
+    """doc_id, digest of the words, hash of the text, n shingles, bands."""
     text = canonical(text_of(text_col))
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -144,10 +148,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n = np.bincount(doc, minlength=part.num_rows).astype(np.int32)
                 keys = band_keys(prob_minhash(doc, h, weight, part.num_rows, BANDS * ROWS))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), bands], names=["doc_id", "digest", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), bands], names=["doc_id", "digest", "own", "n", "bands"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, digest binary, n int, bands array<long>")
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), own_hash(text_col).alias("own")).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text", "own")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest binary, own long, n int, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -237,9 +241,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size, and the digest that tells different texts with one id apart."""
+    """doc_id, class_id, class_size, whether the row is the first of its class, and the digest and hash of its text."""
     rows = written(signatures(df, id_col, text_col), "signatures")
-    nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = nodes.select(F.explode("bands").alias("key"), "digest", "n")
     bucket = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high")).filter("low.digest <> high").drop("high")
     shared = written(member.join(bucket, "key"), "buckets")
@@ -265,8 +269,24 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = written(links.union(across(rest, nodes.select("digest", "bands"), texts, threshold)), "links")
         comp = components(links)
     grouped = nodes.select("digest", "low", "copies").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    classes = grouped.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = grouped.select("digest", "comp").join(classes, "comp").select("digest", "class_id", "class_size")
-    out = rows.select("doc_id", "digest", "n").join(classes, "digest", "left")
+    classes = grouped.groupBy("comp").agg(F.min("low").alias("low"), F.sum("copies").alias("class_size"))
+    classes = grouped.select("digest", "comp").join(classes, "comp").select("digest", F.col("low.doc_id").alias("class_id"), F.col("low.own").alias("low_own"), "class_size")
+    out = rows.select("doc_id", "digest", "own", "n").join(classes, "digest", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "digest")
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("own") == F.col("low_own")))).alias("first"),
+        "digest",
+        "own",
+    )
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df without those that are not the first of their class; all columns stay as they are."""
+    gone = near_classes(df, id_col, text_col, threshold).filter(~F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), F.col("own").alias("gone_own"))
+    digest = F.unhex(F.md5(canonical(text_of(text_col))))
+    here = df.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), digest.alias("row_digest"), own_hash(text_col).alias("row_own"))
+    same = (F.col("row_digest") == F.col("gone_digest")) & (F.col("row_own") == F.col("gone_own")) & F.col("row_id").eqNullSafe(F.col("gone_id"))
+    return here.join(written(gone, "gone"), same, "left_anti").select("row.*")

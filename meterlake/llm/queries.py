@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, exact_dedup, hmm, langid, near_dedup, sharding, topk
+from meterlake.llm import bpe, exact_dedup, hmm, langid, mixing, near_dedup, pii, sharding, topk, toxicity
 from meterlake.llm.common import table
 
 
@@ -27,6 +27,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -40,7 +52,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_topk, op8_near_dedup, op9_bpe, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_topk, op5_mixing, op6_toxicity, op7_surrogates, op8_near_dedup, op9_bpe, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
