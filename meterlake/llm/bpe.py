@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.common import text_of
 
-MEMORY = 600_000
+MEMORY = 300_000
 #: Bytes of text that are encoded together.
-SLICE = 32_000_000
+SLICE = 8_000_000
 
 
 def byte_symbols() -> dict[int, str]:
