@@ -1,0 +1,135 @@
+"""Scenarios of the metering engine with literal results, and every query against DuckDB."""
+
+import json
+import sqlite3
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from meterlake.functions.schema import SAMPLE
+from meterlake.plans import queries as plans
+from meterlake.plans.engine import meter
+
+
+def sample(seq, out, kind="Snapshot", **more):
+    usage = {"raw_input_tokens": more.pop("inp", 100), "raw_output_tokens": out, "raw_cache_read_tokens": more.pop("cr", 0), "raw_cache_write_tokens": 0, "raw_reasoning_tokens": 0, "raw_total_tokens": None}
+    row = dict.fromkeys(SAMPLE.names)
+    row |= {"seq": seq, "sample_id": f"s{seq}", "collector_run_id": "r", "source_adapter_id": "a", "observed_monotonic_ns": seq * 200_000_000, "wall_timestamp_ms": seq, "agent_id": "x", "agent_name": "x", "session_id": "s", "request_id": "q", "model": "m", "provider": "p", "event_kind": kind, "is_cumulative": kind != "Delta", "is_final": kind == "Final", "counter_reset_hint": False, "raw_usage": usage, "source_priority": 50, "token_accuracy": "Exact", "temporal_accuracy": "StreamExact", "measurement_kind": "StreamCounter", "baseline_mode": "KnownZeroOrigin", "strategy": "OpenAiStyle", "reasoning_in_output": True}
+    return row | more
+
+
+def run(spark, *rows):
+    return meter(spark.createDataFrame(list(rows), SAMPLE))
+
+
+def outputs(result):
+    return [r.delta_output for r in result.deltas.orderBy("seq").collect()]
+
+
+def test_accumulation_and_out_of_order(spark):
+    assert outputs(run(spark, *[sample(i, v) for i, v in enumerate((20, 71, 133, 196), 1)])) == [20, 51, 62, 63]
+    assert outputs(run(spark, *[sample(i, v) for i, v in enumerate((100, 180, 150, 230), 1)])) == [100, 80, 50]
+
+
+def test_reset_and_attach(spark):
+    rows = [sample(1, 500, baseline_mode="UnknownAttach"), sample(2, 550), sample(3, 30, counter_reset_hint=True), sample(4, 70)]
+    assert outputs(run(spark, *rows)) == [50, 30, 40]
+
+
+def test_corrections_and_late_after_final(spark):
+    out = run(spark, sample(1, 160), sample(2, 196, "Final"), sample(3, 50, "Delta"))
+    assert [r.output_correction for r in out.corrections.collect()] == [36]
+    ledger = out.ledgers.first()
+    assert ledger.canonical_output == 196 and ledger.is_finalized
+    assert [r.outcome for r in out.outcomes.orderBy("seq").collect()] == ["Committed", "Committed", "Rejected"]
+    assert run(spark, sample(1, 200), sample(2, 196, "Final")).corrections.first().output_correction == -4
+    assert run(spark, sample(1, 196, "Final"), sample(2, 196, "Final")).corrections.count() == 1
+
+
+def test_handoff(spark):
+    rows = [sample(1, 100, source_adapter_id="a"), sample(2, 80, source_adapter_id="b", source_priority=90), sample(3, 110, source_adapter_id="b", source_priority=90)]
+    out = run(spark, *rows)
+    assert outputs(out) == [100, 10] and out.ledgers.first().winning_source == "b"
+    rows = [sample(1, 10, cr=60), sample(2, 20, source_adapter_id="b", source_priority=90, raw_usage={"raw_input_tokens": 100, "raw_output_tokens": 20, "raw_cache_read_tokens": None, "raw_cache_write_tokens": 0, "raw_reasoning_tokens": 0, "raw_total_tokens": None})]
+    assert outputs(run(spark, *rows)) == [10]
+
+
+def test_rates(spark):
+    out = run(spark, sample(1, 60, "Delta"), sample(2, 50, "Delta", agent_id="y"), sample(3, 30, "Delta", agent_id="z"))
+    ticks = spark.createDataFrame([(1, 3, "r", 600_000_000), (2, 3, "r", 3_000_000_000)], "tick long, tick_seq long, collector_run_id string, now_ns long")
+    rows = {r.tick: r for r in out.global_metrics(ticks).collect()}
+    assert rows[1].global_out_tps == 140 and rows[1].generating_agents == 3
+    assert rows[2].global_out_tps == 0 and rows[2].peak_out_tps == 140 and rows[1].global_in_tps is None
+
+
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
+def test_query_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("events", "orders", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = plans.QUERIES[name](spark, sf).collect()
+    want = con.execute(plans.ORACLES[name])
+    names = [d[0] for d in want.description]
+    plain = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    key = lambda r: tuple((v is not None, str(v)) for v in r)
+    left = sorted((tuple(plain(r[n]) for n in names) for r in got), key=key)
+    right = sorted((tuple(plain(v) for v in r) for r in want.fetchall()), key=key)
+    assert left == right
+
+
+def test_sources_and_stream(spark, tmp_path):
+    from meterlake.sources import logs
+    from meterlake.sources.connectors import JsonlTail, SqliteTable
+    from meterlake.streaming.live import Store, meter_stream
+
+    root = tmp_path / "sessions"
+    root.mkdir()
+    line = lambda out, at: json.dumps({"timestamp": f"2025-01-01T00:00:{at:02d}Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 10, "output_tokens": out}}}})
+    log = root / "rollout-1.jsonl"
+    log.write_text(line(100, 1) + "\n{bad\n" + line(180, 3) + "\n" + line(230, 5))
+    spark.dataSource.register(JsonlTail)
+    spark.dataSource.register(SqliteTable)
+    assert logs.discover_rollouts(spark, str(tmp_path)).count() == 1
+    store = Store(spark, str(tmp_path / "store"))
+
+    def go():
+        lines = spark.readStream.format("jsonl_tail").option("path", str(root)).load()
+        parsed = logs.parse_rollouts(lines).filter("error is null").withColumn("seq", F.col("offset")).withColumn("observed_monotonic_ns", F.col("timestamp_ms") * 1_000_000)
+        rows = parsed.withColumnRenamed("value", "_v")
+        return meter_stream(rows, _Rollouts(store), str(tmp_path / "checkpoint"), {"processingTime": "0 seconds"})
+
+    class _Rollouts(Store):
+        def __init__(self, inner):
+            self.__dict__ = inner.__dict__
+
+    import meterlake.streaming.live as live
+
+    original = live.process
+    live.process = lambda s, df, n: original(s, logs.rollout_samples(df), n)
+    try:
+        q = go()
+        q.processAllAvailable()
+        q.stop()
+        assert store.latest("ledgers").first().canonical_output == 180
+        with log.open("a") as f:
+            f.write("\n")
+        q = go()
+        q.processAllAvailable()
+        q.stop()
+        assert store.latest("ledgers").first().canonical_output == 230
+    finally:
+        live.process = original
+    db = tmp_path / "db.sqlite"
+    con = sqlite3.connect(db)
+    con.execute("CREATE TABLE model_usage (id TEXT, status TEXT, completed_at INT)")
+    con.executemany("INSERT INTO model_usage VALUES (?, ?, ?)", [("b", "completed", 2000), ("a", "error", 1000)])
+    con.commit()
+    rows = spark.read.format("sqlite_table").option("path", str(db)).schema("id string, status string, completed_at long").load()
+    assert [r.id for r in rows.collect()] == ["a", "b"] and rows.filter("completed_at > 1500").count() == 1
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 3
+    assert set(entry.oracle_sql()) <= set(entry.queries())
