@@ -38,7 +38,7 @@ CLASSES = OWN + HASHED + 1
 END = CLASSES - 1
 SAMPLE, SAMPLE_CHARS, START_ROUNDS, ROUNDS = 600, 20_000, 12, 2
 SEGMENT = 256
-COMMON, COMMON_BYTES = 200_000, 64
+COMMON, COMMON_BYTES = 150_000, 64
 #: Bytes of text that are taken together in training and in scoring.
 TRAIN_SLICE, SCORE_SLICE = 5_000_000, 12_000_000
 
@@ -183,6 +183,25 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def common_words(counts: DataFrame) -> dict[str, int]:
+    """The most frequent words and their counts, most frequent first: at most COMMON words of COMMON_BYTES bytes.
+
+    A histogram of counts in steps of an eighth of a power of two gives the least count that fits, so no task sends
+    more than its share of the words.
+    """
+    short = counts.filter(F.octet_length("word") <= COMMON_BYTES)
+    step = F.floor(F.log2("c") * 8)
+    least, total = None, 0
+    for at, n in sorted(short.groupBy(step.alias("at")).count().collect(), reverse=True):
+        if total + n > COMMON:
+            break
+        least, total = at, total + n
+    if least is None:
+        return {}
+    found = short.filter(step >= least).select("word", "c").collect()
+    return dict(sorted((tuple(r) for r in found), key=lambda r: (-r[1], r[0])))
+
+
 def train_model(train: DataFrame, own: dict[str, int], rounds: int = ROUNDS) -> Model:
     spark = train.sparkSession
 
@@ -228,8 +247,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     learned = rows.filter("trained")
     counts = written(count_words(learned), "counts")
     texts = learned.count()
-    short = counts.filter(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("c"), "word").limit(COMMON)
-    common = {r[0]: r[1] for r in short.collect()}  # at most COMMON words of COMMON_BYTES bytes
+    common = common_words(counts)
     own = {w: i for i, w in enumerate(list(common)[: OWN - 1], start=1)}
     by_class = {r[0]: r[1:] for r in counts.groupBy(hashed_class_sql(F.col("word")).alias("k")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
     words, distinct = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
