@@ -124,7 +124,7 @@ class JsonlTailReader(SimpleDataSourceStreamReader):
 
 
 class SqliteTable(DataSource):
-    """Options: path, table, order (columns). Filters on completed_at and status go to SQLite; the file is opened read-only."""
+    """Options: path, table, order (columns), pushdown (true: comparisons go to SQLite). The file is opened read-only."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,7 +136,7 @@ class SqliteTable(DataSource):
         return USAGE_ROW
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(self.options, schema)
+        return (PushingReader if self.options.get("pushdown", "false") == "true" else SqliteReader)(self.options, schema)
 
 
 class SqliteReader(DataSourceReader):
@@ -146,14 +146,6 @@ class SqliteReader(DataSourceReader):
         self.columns = [f.name for f in schema]
         self.where: list[tuple[str, object]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        signs = {GreaterThanOrEqual: ">=", GreaterThan: ">", EqualTo: "="}
-        for f in filters:
-            if type(f) in signs and len(f.attribute) == 1 and isinstance(f.value, (int, str)):
-                self.where.append((f'"{f.attribute[0]}" {signs[type(f)]} ?', f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # SQLite files have one writer and are small; a file is read by one task
 
@@ -167,3 +159,15 @@ class SqliteReader(DataSourceReader):
             yield from db.execute(sql, [v for _, v in self.where])
         finally:
             db.close()
+
+
+class PushingReader(SqliteReader):
+    """Needs spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        signs = {GreaterThanOrEqual: ">=", GreaterThan: ">", EqualTo: "="}
+        for f in filters:
+            if type(f) in signs and len(f.attribute) == 1 and isinstance(f.value, (int, str)):
+                self.where.append((f'"{f.attribute[0]}" {signs[type(f)]} ?', f.value))
+            else:
+                yield f

@@ -128,6 +128,10 @@ def test_sources_and_stream(spark, tmp_path):
     con.commit()
     rows = spark.read.format("sqlite_table").option("path", str(db)).schema("id string, status string, completed_at long").load()
     assert [r.id for r in rows.collect()] == ["a", "b"] and rows.filter("completed_at > 1500").count() == 1
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("sqlite_table").option("path", str(db)).option("pushdown", "true").schema("id string, status string, completed_at long").load()
+    assert [r.id for r in rows.filter("completed_at > 1500").collect()] == ["b"]
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_entry(spark):
