@@ -272,7 +272,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 logs = np.log10(c + 1.0)
                 n = np.diff(ends)
                 owner = np.repeat(np.arange(len(n)), n)
-                add = lambda values: np.bincount(owner, weights=values[at], minlength=len(n))  # noqa: E731, B023
+                add = lambda values: np.bincount(owner, weights=values[at], minlength=len(n)).astype(np.float64)  # noqa: E731, B023
                 inner = np.where(classes < OWN, 0.0, logs) - room[classes]
                 rare = np.flatnonzero(c[at] == 0)
                 pairs, times = np.unique(owner[rare].astype(np.int64) * max(1, len(names)) + at[rare], return_counts=True)

@@ -64,8 +64,8 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
     h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h[: n - i if i else n] += mix(words[i:] + np.uint64((i + 1) * _GOLDEN % (1 << 64)))
+    for i in range(min(SHINGLE, n)):
+        h[: n - i] += mix(words[i:] + np.uint64((i + 1) * _GOLDEN % (1 << 64)))
     whole = np.zeros(n, bool)
     if n >= SHINGLE:
         whole[: n - SHINGLE + 1] = owner[: n - SHINGLE + 1] == owner[SHINGLE - 1 :]
