@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import text_of
+from meterlake.llm.common import give_back, released, text_of
 
 MEMORY = 200_000
 #: Bytes of text that are encoded together.
@@ -229,22 +229,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Nothing here makes cycles, and the collector would walk the known pieces again and again. Workers are used
-        # again by other tasks, so it is switched on again at the end, and what was known is freed.
+        # Nothing here makes cycles, and the collector would walk the known pieces again and again; released() switches
+        # it on again.
         gc.disable()
-        try:
-            bpe = PairIndexBPE(spec.value)
-            for batch in batches:
-                for part in slices(batch, 1):
-                    flat, ends = bpe.encode_batch(part.column(1))
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids, bpe.decode(flat, ends)], names=["doc_id", "ids", "decoded"])
-        finally:
-            bpe = None
-            gc.enable()
-            gc.collect()
-
-    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+        bpe = PairIndexBPE(spec.value)
+        for batch in batches:
+            for part in slices(batch, 1):
+                flat, ends = bpe.encode_batch(part.column(1))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, bpe.decode(flat, ends)], names=["doc_id", "ids", "decoded"])
+                del flat, ends, ids
+                give_back()
+
+    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digest_columns() -> list[Column]:

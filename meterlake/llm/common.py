@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,28 @@ def packed_search(packed: Column, n: int, width: int, key: Column) -> Column:
         F.lit(0),
         lambda i, s: F.when((i + s <= n) & (F.substring(packed, (i + s - 1) * width + 1, F.lit(width)) <= key), i + s).otherwise(i),
     )
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, whose worker gives its memory back when a task ends.
+
+    Spark uses Python workers again, for other stages too, and idle ones count against the executor's memory.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            give_back()
+
+    return task

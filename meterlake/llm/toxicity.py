@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlake.llm.common import id_crc, text_of
+from meterlake.llm.common import id_crc, released, text_of
 
 ORDER, DECAY = 3, 0.6
 LANDMARKS, LANDMARK_CHARS = 40, 14
@@ -261,7 +261,7 @@ def score(df: DataFrame, model: Classifier | None, columns: list[str], text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value.astype(np.float64))], names=["row", "score"])
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
