@@ -30,6 +30,8 @@ from meterlake.llm.common import give_back, released, text_of
 MEMORY = 200_000
 #: Bytes of text that are encoded together.
 SLICE = 8_000_000
+#: Chunks of a slice whose ids are gathered at a time.
+STRETCH = 100_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -187,10 +189,14 @@ class PairIndexBPE:
             self.chunk.update(zip(new, range(len(self.chunk), len(self.chunk) + len(new)), strict=True))
             self.chunks.add(np.fromiter(map(self.piece.__getitem__, flat), np.int32, int(sizes.sum())), sizes)
         at = np.fromiter(map(self.chunk.__getitem__, names), np.int32, len(names))
-        pieces, upto = self.chunks.take(at[np.asarray(coded.indices)])
-        ends = upto[np.asarray(split.offsets)]
-        flat, upto = self.ids.take(pieces)
-        return flat, upto[ends]
+        which = at[np.asarray(coded.indices)]
+        found, upto = [np.zeros(0, np.int32)], np.zeros(len(which) + 1, np.int64)
+        for i in range(0, len(which), STRETCH):
+            pieces, chunk_ends = self.chunks.take(which[i : i + STRETCH])
+            flat, piece_ends = self.ids.take(pieces)
+            found.append(flat)
+            upto[i : i + len(chunk_ends)] = upto[i] + piece_ends[chunk_ends]
+        return np.concatenate(found), upto[np.asarray(split.offsets)]
 
     def decode(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The file names no decoder, so tokens are joined by spaces."""
