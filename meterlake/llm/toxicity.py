@@ -5,12 +5,14 @@ stretch it spans in either word, and normalised to 1 for equal words. Gaps cost
 word with an inserted, dropped or starred character stays near the word it hides; separators inside a token are
 stripped, look-alike digits become letters, and runs of single letters are read as one word.
 
-Landmarks are the words and word stems that tell toxic from other labelled texts best, none the beginning of another. A text's kernel vector holds, for each
-landmark, the largest kernel value of its words; the Nystroem map K^-1/2 turns it into features of the kernel's
+Landmarks are the words and word stems that tell toxic from other labelled texts best, none the beginning of another;
+among equals the longest. A text's kernel vector holds, for each landmark, the largest kernel value of its words, each
+compared over its whole length: with every stretch of it, and, where the landmark's letters stand in order with up to
+GAP others between two, without those others. A token's parts at signs are compared as the one word they form; the Nystroem map K^-1/2 turns it into features of the kernel's
 space, a linear SVM (squared hinge) separates them, and a logistic fit on its margin gives the score.
 
 Fitting reads a bounded sample of labelled rows: about TRAIN texts of each label of at most TRAIN_CHARS characters,
-drawn by a hash of the id. Scoring reads whole texts. A word is compared with the landmarks that share most of its
+drawn by a hash of the id. Scoring reads whole texts. A stretch is compared with the landmarks that share most of its
 letters; for all others the kernel counts as 0.
 
 Cases: null text counts as empty, and a text without words has the score of an empty one; without labels of both
@@ -38,8 +40,12 @@ STEMS = (4, 5, 6, 7)
 #: The normalised kernel is raised to this power (itself a kernel), which sets near matches off from chance ones.
 SHARPEN = 3
 TRAIN, TRAIN_CHARS = 2500, 20_000
-#: Bytes of text that are scored together, and words compared together.
-SLICE, WORDS = 8_000_000, 2048
+#: Bytes of text that are scored together, words whose stretches are looked at together, and stretches compared together.
+SLICE, WORDS, PAIRS = 8_000_000, 8192, 16_384
+#: Letters that may stand between two of a landmark's.
+GAP = 2
+#: Words are looked at together with those of about their length; longer ones in stretches that overlap.
+WIDTHS, OVERLAP = (8, 12, 16, 24, 96), LANDMARK_CHARS + (LANDMARK_CHARS - 1) * GAP
 THRESHOLD = 0.3
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -85,6 +91,25 @@ def raw_kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return total
 
 
+def pair_kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The kernel of each word with the other one of its row."""
+    n, length = others.shape
+    partial = [np.zeros((length + 1, n), np.float32) for _ in range(ORDER)]  # [j + 1]: K' up to character j
+    total = np.zeros(n, np.float32)
+    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
+    columns, marks = np.ascontiguousarray(words.T), np.ascontiguousarray(others.T)
+    for a in range(words.shape[1]):
+        match = ((columns[a] == marks) & (marks != 0)) * square
+        total += (match * partial[ORDER - 2][:-1]).sum(axis=0)
+        for i in range(ORDER - 2, -1, -1):
+            gain = match * partial[i - 1][:-1] if i else match
+            run = np.zeros(n, np.float32)
+            for j in range(length):
+                run = decay * run + gain[j]
+                partial[i][j + 1] = decay * partial[i][j + 1] + run
+    return total
+
+
 def own_kernel(words: np.ndarray) -> np.ndarray:
     return np.array([raw_kernel(words[i : i + 1], words[i : i + 1])[0, 0] for i in range(len(words))], np.float32)
 
@@ -107,25 +132,80 @@ class Kernel:
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(positions, values) of the words that have a kernel value with some landmark.
 
-        A landmark meets a word's head, which is two characters longer than the landmark, so that endings don't hide it.
+        A landmark meets every stretch of a word that is two characters longer than the landmark (the last ones end with
+        the word), so that neither what is glued before nor endings hide it. Where its letters stand in the word in
+        order but further apart, it meets the word without the letters that are not its own.
         """
-        rows = codes(words, LANDMARK_CHARS + 2)
-        filled = (rows != 0).sum(axis=1)
         out = np.zeros((len(words), len(self.rows)), np.float32)
-        for size in np.unique(self.length).tolist():
-            marks = np.flatnonzero(self.length == size)
-            head = rows[:, : size + 2]
-            shared = np.bitwise_count(letters(head)[:, None] & self.set[None, marks])
-            pairs = (shared >= np.ceil(0.7 * np.bitwise_count(self.set[marks]))) & (filled[:, None] >= max(ORDER, 0.7 * size))
-            some = np.flatnonzero(pairs.any(axis=1))
-            for at in range(0, len(some), WORDS):
-                part = some[at : at + WORDS]
-                value = raw_kernel(head[part], self.rows[marks][:, :size])
-                each = self.diagonal(head[part])
-                out[np.ix_(part, marks)] = np.where(pairs[part], value / np.sqrt(np.maximum(each[:, None] * self.own[None, marks], 1e-12)), 0)
+        sizes = np.array([len(w) for w in words], np.int64)
+        low = 0
+        for high in WIDTHS:
+            own = np.flatnonzero((sizes > low) & (sizes <= high) & (sizes >= ORDER))
+            for at in range(0, len(own), WORDS):
+                part = own[at : at + WORDS]
+                self.stretch(codes([words[i] for i in part], high + LANDMARK_CHARS + 2), sizes[part], part, out)
+            low = high
+        for i in np.flatnonzero(sizes > low).tolist():  # overlapping stretches, so that what fits in the overlap is in one
+            parts = [words[i][j : j + low] for j in range(0, sizes[i] - OVERLAP, low - OVERLAP)]
+            for at in range(0, len(parts), WORDS):
+                some = parts[at : at + WORDS]
+                self.stretch(codes(some, low + LANDMARK_CHARS + 2), np.array([len(w) for w in some]), np.full(len(some), i), out)
         some = np.flatnonzero(out.any(axis=1))
         return some, out[some] ** SHARPEN
 
+    def stretch(self, rows: np.ndarray, filled: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """Raise out[owner] to the kernel values of the rows, which are padded for a window at every character."""
+        longest = int(filled.max())
+        bits = np.where(rows != 0, np.left_shift(np.uint64(1), (rows % 61).astype(np.uint64)), np.uint64(0))
+        whole = np.bitwise_or.reduce(bits, axis=1)
+        for size in np.unique(self.length).tolist():
+            marks = np.flatnonzero(self.length == size)
+            starts = max(1, longest - size + 1)
+            seen = bits[:, :starts].copy()
+            for k in range(1, size + 2):
+                seen |= bits[:, k : k + starts]
+            valid = (np.arange(starts)[None, :] <= np.maximum(filled - size, 0)[:, None]) & (filled >= max(ORDER, 0.7 * size))[:, None]
+            need = np.ceil(0.7 * np.bitwise_count(self.set[marks]))
+            found = []
+            for j, mark in enumerate(marks.tolist()):
+                word, at = np.nonzero(valid & (np.bitwise_count(seen & self.set[mark]) >= need[j]))
+                found.append((word, at, np.full(len(word), mark)))
+            word, at, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+            for i in range(0, len(word), PAIRS):
+                w, a, m = word[i : i + PAIRS], at[i : i + PAIRS], mark[i : i + PAIRS]
+                self.raise_to(rows[w[:, None], a[:, None] + np.arange(size + 2)[None, :]], m, owner[w], out)
+            for mark in marks.tolist():
+                letters_ = self.rows[mark, :size]
+                near = np.flatnonzero((filled >= size) & ((whole & self.set[mark]) == self.set[mark]))
+                if len(near):
+                    self.apart(rows[near, :longest], letters_, mark, owner[near], out)
+
+    def apart(self, rows: np.ndarray, letters_: np.ndarray, mark: int, owner: np.ndarray, out: np.ndarray) -> None:
+        """Kernel values where the landmark's letters stand in order with up to GAP others between any two."""
+        size = len(letters_)
+        # At each character, where the closest match of the landmark so far that ends here began (-1: none ends here).
+        begun = np.where(rows == letters_[0], np.arange(rows.shape[1])[None, :], -1)
+        for c in letters_[1:]:
+            before = np.full_like(begun, -1)
+            for gap in range(1, min(GAP + 2, rows.shape[1])):
+                before[:, gap:] = np.maximum(before[:, gap:], begun[:, :-gap])
+            begun = np.where(rows == c, before, -1)
+        word, end = np.nonzero(begun >= 0)
+        if not len(word):
+            return
+        own = set(letters_.tolist())
+        kept = np.zeros((len(word), size + 2), np.uint32)
+        for i, (w, z) in enumerate(zip(word.tolist(), end.tolist(), strict=True)):
+            a = int(begun[w, z])
+            left = [c for c in rows[w, a : z + 1].tolist() if c in own][: size + 2]
+            kept[i, : len(left)] = left
+        self.raise_to(kept, np.full(len(word), mark), owner[word], out)
+
+    def raise_to(self, rows: np.ndarray, mark: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        size = int(self.length[mark[0]])
+        value = pair_kernel(rows, self.rows[mark, :size])
+        np.maximum.at(out, (owner, mark), value / np.sqrt(np.maximum(pair_kernel(rows, rows) * self.own[mark], 1e-12)))
+
     def diagonal(self, rows: np.ndarray) -> np.ndarray:
         """The kernel of each word with itself: the same recursion with one other word a row."""
         n, width = rows.shape
@@ -173,6 +253,22 @@ def pooled(kernel: Kernel, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def within(stems: list[str], texts: list[str]) -> dict[str, int]:
+    """How many of the texts hold each stem anywhere in a word, as a landmark meets a word anywhere."""
+    wanted, sizes = set(stems), sorted({len(w) for w in stems})
+    held: dict[str, frozenset[str]] = {}
+    count = Counter(dict.fromkeys(stems, 0))
+    for text in texts:
+        found: set[str] = set()
+        for token in set(text.lower().split()):
+            if token not in held:
+                w = plain_word(token)
+                held[token] = frozenset(x for n in sizes for i in range(len(w) - n + 1) if (x := w[i : i + n]) in wanted)
+            found |= held[token]
+        count.update(found)
+    return dict(count)
+
+
 class Classifier:
     """Landmarks, Nystroem map, SVM weights and the logistic fit on its margin."""
 
@@ -183,8 +279,10 @@ class Classifier:
             seen[label].update(words | {w[:n] for w in words for n in STEMS})
         bad, good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
         odds = {w: n * np.log(((n + 0.5) / bad) / ((seen[0][w] + 0.5) / good)) for w, n in seen[1].items() if n >= 5}
+        inside = within([w for w in odds if odds[w] > 0], [t for t, y in zip(texts, toxic.tolist(), strict=True) if not y])
+        odds = {w: seen[1][w] * np.log(((seen[1][w] + 0.5) / bad) / ((n + 0.5) / good)) for w, n in inside.items()}
         marks: list[str] = []
-        for w in sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], w)):
+        for w in sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], -len(w), w)):
             if len(marks) < LANDMARKS and not any(w.startswith(m) or m.startswith(w) for m in marks):
                 marks.append(w)
         self.kernel = Kernel(marks or ["toxic"])

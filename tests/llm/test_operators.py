@@ -261,6 +261,33 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.held_out_query(empty, labels).collect() == []
 
 
+def test_toxicity_reads_whole_words():
+    """Insults glued in mid-token, behind signs, far into a long token, and with three or more inserted letters."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(4)) for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(600):
+        text = rng.choice(words, 30).tolist()
+        if i % 3 == 0:
+            text[int(rng.integers(0, 30))] = ["grumbolt", "snarfel", "vexnit"][i % 9 // 3]
+        texts.append(" ".join(text))
+        toxic.append(int(i % 3 == 0))
+    model = toxicity.Classifier(texts, np.array(toxic), np.ones(600))
+    plain = " ".join(words[:20])
+    hidden = ["hello,grumbolt", "you/snarfel", "#whatavexnit", "subgrumboltish", "la" * 300 + "snarfel" + "la" * 300, "gxrxuxmxbxoxlxt", "sqwnqwaqwrqwfqwel", "you,vzezxznzizt"]
+    hidden += ["la" * n + "gxrxuxmxbxoxlxt" for n in range(30, 60)]
+    score = model.scores(pa.array([f"{plain} {w}" for w in hidden] + [plain, plain + " hello,there " + "la" * 300]))
+    assert (score[:-2] >= toxicity.THRESHOLD).all(), score
+    assert (score[-2:] < toxicity.THRESHOLD).all(), score
+
+
+def test_pair_kernel_like_the_kernel_of_all_pairs():
+    rows = toxicity.codes(["stupid", "stuxpid", "aabbaa", "cat"], 12)
+    assert np.allclose(toxicity.pair_kernel(rows, rows[::-1]), np.diagonal(toxicity.raw_kernel(rows, rows[::-1])), rtol=1e-4)
+
+
 def test_string_kernel_by_enumeration():
     from itertools import combinations
 
