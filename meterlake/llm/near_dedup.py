@@ -4,8 +4,11 @@ Texts are compared as lower-case words between white space; a shingle is SHINGLE
 shingle) and weighs 1 + ln(times it occurs). ProbMinHash: each shingle is a Poisson process whose rate is its weight;
 every arrival falls on a random register, which keeps the shingle of its earliest arrival, and a shingle's process
 ends once its next arrival is later than every register's. Two texts agree on a register with the probability of
-their probability Jaccard similarity. BANDS bands of ROWS registers make buckets: at 0.8 a pair misses all of them
-with probability 4e-4.
+their probability Jaccard similarity. BANDS bands of ROWS registers make buckets. Verification takes shingles as sets,
+and a repeated passage can make the probability Jaccard similarity far less than the one of the sets; so a text with
+repeats has the bands of both signatures, that of its weights and that of weight 1 (for other texts they are the same).
+With weight 1 registers agree with the probability of the sets' Jaccard similarity: at 0.8 a pair misses all bands with
+probability 4e-4, repeats or not.
 
 Copies (equal words) are one node from the start. In a bucket, all nodes are compared with its first node, so no
 group is expanded into pairs; texts travel once to the pairs and the Jaccard similarity of the shingle sets is
@@ -146,8 +149,14 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in slices(batch, 2, SLICE):
                 doc, h, weight = weighted(part.column(2))
                 n = np.bincount(doc, minlength=part.num_rows).astype(np.int32)
-                keys = band_keys(prob_minhash(doc, h, weight, part.num_rows, BANDS * ROWS))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                keys = band_keys(prob_minhash(doc, h, np.ones(len(h)), part.num_rows, BANDS * ROWS))
+                again = np.unique(doc[weight > 1])  # texts that repeat a shingle: bands of the weights, after the others
+                own = np.isin(doc, again)
+                more = band_keys(prob_minhash(np.searchsorted(again, doc[own]), h[own], weight[own], len(again), BANDS * ROWS))
+                row = np.concatenate([np.arange(part.num_rows), again])
+                order = np.argsort(row, kind="stable")
+                ends = np.cumsum(BANDS * np.bincount(row, minlength=part.num_rows))
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate([keys, more])[order].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), bands], names=["doc_id", "digest", "own", "n", "bands"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), own_hash(text_col).alias("own")).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text", "own")
@@ -182,7 +191,7 @@ def across(rest: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float
     """Links between nodes of one bucket (key, digest, n, comp, size) and different components.
 
     A bucket is dealt into chunks of about CHUNK nodes, and each two chunks make a unit of bounded size. A pair that
-    shares several buckets is compared in the first one only.
+    shares several buckets is compared in those of the first band only.
     """
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("digest"), parts).cast("int")
@@ -196,8 +205,9 @@ def across(rest: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float
         digest, n = pdf["digest"].to_list(), pdf["n"].to_numpy()
         side = pdf["own"].to_numpy() == j
         label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
-        keys = np.stack(pdf["bands"].to_list())
-        band = int(np.flatnonzero(keys[0] == key)[0])
+        keys = np.stack([np.resize(b, 2 * BANDS) for b in pdf["bands"]])  # bands of weight 1, then of the weights
+        band = int(np.flatnonzero(keys[0] == key)[0]) % BANDS
+        keys = [keys[:, :band], keys[:, BANDS : BANDS + band]]
         doc, h, _ = weighted(pa.array(pdf["text"].to_list(), pa.string()))
         code = np.unique(h, return_inverse=True)[1]
         at = np.searchsorted(doc, np.arange(len(digest)))
@@ -209,7 +219,9 @@ def across(rest: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float
             y = (label != label[x]) & side & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9)
             y[: x + 1] = False
             if y.any():
-                y &= ~(keys[:, :band] == keys[x, :band]).any(axis=1)
+                for one in keys:
+                    for other in keys:
+                        y &= ~(one == other[x]).any(axis=1)
             if not y.any():
                 continue
             mine = code[at[x] : at[x] + n[x]]
@@ -244,7 +256,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, class_id, class_size, whether the row is the first of its class, and the digest and hash of its text."""
     rows = written(signatures(df, id_col, text_col), "signatures")
     nodes = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("low"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = nodes.select(F.explode("bands").alias("key"), "digest", "n")
+    member = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "digest", "n")
     bucket = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high")).filter("low.digest <> high").drop("high")
     shared = written(member.join(bucket, "key"), "buckets")
 

@@ -215,6 +215,20 @@ def test_near_dedup_bucket_of_many_components(spark, monkeypatch):
     assert linked and all(got[i] == got[j] for i, j in linked)
 
 
+def test_near_dedup_repeated_passages(spark):
+    """Pairs of Jaccard similarity 0.8 or more where what differs is a passage that occurs 50 times."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(25):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 90)]
+        texts += [" ".join(base), " ".join(base + [f"g{g}r{x}" for x in range(14)] * 50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    linked = [(i, j) for i in range(50) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert linked == [(i + 1, i) for i in range(0, 50, 2)] and all(got[i] == got[j] for i, j in linked)
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(6)
     h = rng.integers(1, 2**63, 60).astype(np.uint64)
