@@ -14,8 +14,11 @@ different ones (distinctness), without any table of what was replaced:
 * name: a known given name becomes another one of the same gender and script; a name after a title keeps its title
   and gender, and its other parts become letters of the same script and case.
 
-Collision checks: a surrogate that equals its original or any entity of the same text is permuted again until it is
-free, and the text is refused (an exception) should two entities of a text ever meet in one surrogate.
+Collision checks: a surrogate that equals another entity of the text stays, as that entity is replaced as well and the
+surrogates of one domain differ from one another. Two entities whose spellings lie in different domains (an address with a
+reserved and one with another domain, digits with and without leading zeros) can meet in one surrogate; the later one by
+kind and value is then permuted on until it is free, which gives it another surrogate in that text than elsewhere; should its cycle
+hold no free one, they share it. No text is refused. A fixed point of a permutation stays as it is.
 
 Cases: null text stays null, a text without entities stays as it is, overlapping finds go to the longest, and the
 repeated row gets the same text. Other columns are ignored.
@@ -26,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,33 +181,36 @@ class Surrogates:
                 out.append(self.permute("name" + gender, part))
         return " ".join(out)
 
-    def of(self, kind: str, value: str, taken: set[str]) -> str:
-        """The entity's surrogate; permuted on while it is an entity of the text itself."""
-        make: Callable[[str], str] = getattr(self, kind)
+    def of(self, kind: str, value: str) -> str:
+        """The entity's surrogate, the same in every text."""
         new = self.known.get((kind, value))
         if new is None:
-            new = make(value)
+            new = getattr(self, kind)(value)
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[kind, value] = new
-        for _ in range(64):
-            if new not in taken and new != value:
-                break
-            new = make(new)
         return new
 
+    def free(self, kind: str, value: str, taken: set[str]) -> str:
+        """The first of the entity's surrogates, permuted on, that is not taken; the first one where all are."""
+        first = new = self.of(kind, value)
+        seen = set()
+        while new in taken and new not in seen:
+            seen.add(new)
+            new = getattr(self, kind)(new)
+        return first if new in taken else new
+
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         """The text with surrogates, and (start, end, kind, surrogate) of each entity in the given text."""
         spans = find(text)
         if not spans:
             return text, []
-        originals = {text[a:b] for a, b, _ in spans}
-        chosen: dict[tuple[str, str], str] = {}
-        for a, b, kind in spans:
-            if (kind, text[a:b]) not in chosen:
-                chosen[kind, text[a:b]] = self.of(kind, text[a:b], originals)
-        if len(set(chosen.values())) < len({v for _, v in chosen}):
-            raise ValueError("two entities of a text have one surrogate")
+        chosen = {e: self.of(*e) for e in sorted({(kind, text[a:b]) for a, b, kind in spans})}
+        if len(set(chosen.values())) < len(chosen):
+            taken: set[str] = set()
+            for e, new in chosen.items():
+                chosen[e] = new if new not in taken else self.free(*e, {*taken, *chosen.values()})
+                taken.add(chosen[e])
         out, at, made = [], 0, []
         for a, b, kind in spans:
             new = chosen[kind, text[a:b]]

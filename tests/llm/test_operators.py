@@ -360,6 +360,18 @@ def test_surrogates(spark, odd, empty):
     assert pii.pseudonymise(odd).count() == len(ODD) and pii.pseudonymise(empty).collect() == []
 
 
+def test_surrogates_of_whole_domains():
+    """Texts with all names of a list or all one-letter mailboxes: none is refused, and surrogates are distinct and those of any other text."""
+    lists = [[f"Miss {n}" for n in names] for names in pii.NAMES.values()]
+    lists += [[f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"], ["x.fooorg@example.com", "x@foo.org"]]
+    for entities in lists:
+        new, spans = pii.Surrogates().replace("; ".join(entities))
+        made = [s for _, _, _, s in spans]
+        assert len(spans) == len(set(made)) == len(entities) and new == "; ".join(made)
+        if len(entities) > 2:
+            assert made == [pii.Surrogates().replace(e)[0] for e in entities]
+
+
 def test_lm_score(spark, odd, empty):
     import math
 
