@@ -3,8 +3,10 @@
 Every document falls in a cell (source, language, topic). The tokens of each cell are summed in one aggregation; only
 the cell table reaches the driver. Raking scales the cells so that the token shares of sources, languages and topics
 meet their targets, one margin after another until all three hold. A document is then kept with the probability of its
-cell, the ratio of raked to present tokens scaled so that the largest is 1; a hash of its id and text decides, so the
-choice is the same in every run and on every executor.
+cell, the ratio of raked to present tokens times a scale, 1 at most; a hash of its id and text decides, so the choice is
+the same in every run and on every executor. The scale is the largest at which the cells that have too few tokens for
+it, which stay whole, lack SHORT of the wanted tokens in all; so how much stays does not hang on the rarest cell, and the
+shares kept are off by about SHORT at most.
 
 Bound: margins are given for at most MOST sources and languages (the largest by tokens; what is beyond them shares the
 margin `other`), topics are the fixed list below, so the table has at most (MOST + 1)^2 * topics cells whatever the
@@ -18,12 +20,14 @@ drops its cells; repeated rows share one decision; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.common import WS, text_of
 
-TEMPER, MOST = 0.9, 500
+TEMPER, MOST, SHORT = 0.9, 500, 0.01
 ROUNDS, EXACT = 200, 1e-9
 #: Topics in order; the first whose sign a text contains is its topic. Plain searches: no regex runs over the text.
 TOPICS = (
@@ -76,12 +80,23 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -
     return now
 
 
+def scale(raked: dict[tuple[str, ...], float], present: dict[tuple[str, ...], float]) -> float:
+    """The largest factor of the raked shares at which cells lack SHORT of the tokens wanted; both total 1."""
+    u = 0.0  # Newton's method on sum(max(0, raked - u * present)) = SHORT, which is convex in u = 1 / scale
+    while True:
+        over = [k for k, v in present.items() if raked[k] > u * v]
+        after = (math.fsum(raked[k] for k in over) - SHORT) / total if (total := math.fsum(present[k] for k in over)) else u
+        if after <= u * (1 + 1e-12):
+            return 1 / u if u else 0.0
+        u = after
+
+
 def probabilities(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -> dict[tuple[str, ...], float]:
     total = sum(cells.values())
     raked = rake(cells, targets)
-    ratio = {k: raked[k] * total / v for k, v in cells.items() if v > 0}
-    top = max(ratio.values(), default=0.0)
-    return {k: (ratio[k] / top if top else 0.0) if v > 0 else 1.0 for k, v in cells.items()}
+    present = {k: v / total for k, v in cells.items() if v > 0}
+    factor = scale(raked, present)
+    return {k: min(1.0, raked[k] * factor / present[k]) if v > 0 else 1.0 for k, v in cells.items()}
 
 
 def draw(id_col: Column, text: Column) -> Column:

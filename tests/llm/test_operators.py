@@ -340,6 +340,24 @@ def test_mixing_meets_its_targets(spark, odd, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_kept_share_does_not_hang_on_a_rare_cell():
+    def kept(cells):
+        margins = [{k[i]: sum(v for c, v in cells.items() if c[i] == k[i]) for k in cells} for i in range(3)]
+        chance = mixing.probabilities(cells, [mixing.tempered(m) for m in margins])
+        assert all(0 <= p <= 1 for p in chance.values())
+        return sum(chance[k] * v for k, v in cells.items()) / sum(cells.values()), chance
+
+    cells = {(a, b, c): 1e5 * (i + 1) * (j + 2) * (k + 1) for i, a in enumerate("stu") for j, b in enumerate("xy") for k, c in enumerate("pq")}
+    rare = ("new", "new", "p")
+    for size in (1, 300):
+        large = {k: v * size for k, v in cells.items()}
+        share, _ = kept(large)
+        other, chance = kept(large | {rare: 5.0})
+        assert chance[rare] == 1 and abs(share - other) < 0.001 and share > 0.6
+    assert mixing.probabilities({rare: 0.0}, [{}, {}, {}]) == {rare: 1.0}
+    assert mixing.probabilities({rare: 3.0}, [{"new": 0.0}, {}, {}]) == {rare: 0.0}
+
+
 def test_surrogates(spark, odd, empty):
     own = pii.Surrogates()
     text = "Mr. John Smith, mail j.smith.42@mail8.example.com or call +1 (255) 555-8013 from 42.144.35.254; card 4587121519400672, token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" password=b7db7aa4a5fcc78305. Maria Lopez. Again j.smith.42@mail8.example.com"
