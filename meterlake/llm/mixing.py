@@ -1,17 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Every document falls in a cell (source, language, topic). The tokens of each cell are summed in one aggregation; only
-the cell table reaches the driver. Raking scales the cells so that the token shares of sources, languages and topics
+Every document falls in a cell (source, language, topic). The tokens of each cell are summed in one aggregation; a table
+of up to CELLS cells is raked on the driver, a larger one the same way as a DataFrame, written after each margin. Raking scales the cells so that the token shares of sources, languages and topics
 meet their targets, one margin after another until all three hold. A document is then kept with the probability of its
 cell, the ratio of raked to present tokens times a scale, 1 at most; a hash of its id and text decides, so the choice is
 the same in every run and on every executor. The scale is the largest at which the cells that have too few tokens for
 it, which stay whole, lack SHORT of the wanted tokens in all; so how much stays does not hang on the rarest cell, and the
 shares kept are off by about SHORT at most.
 
-Bound: margins are given for at most MOST sources and languages (the largest by tokens; what is beyond them shares the
-margin `other`), topics are the fixed list below, so the table has at most (MOST + 1)^2 * topics cells whatever the
-input, and usually a few hundred. Targets are the present shares to the power of TEMPER, evened out but not flat,
-unless the caller names them.
+Every source, language and topic has its own margin, however many there are. Targets are the present shares to the power
+of TEMPER, evened out but not flat, unless the caller names them.
 
 Cases: null source or language is the value `none`; a document without tokens weighs nothing and is kept; a target of 0
 drops its cells; repeated rows share one decision; an empty table gives no rows. Other columns are ignored unless
@@ -25,9 +23,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import WS, text_of
+from meterlake.llm.common import WS, text_of, written
 
-TEMPER, MOST, SHORT = 0.9, 500, 0.01
+TEMPER, SHORT = 0.9, 0.01
+#: Cells that are raked on the driver.
+CELLS = 4000
+KEYS = ("source", "lang", "topic")
 ROUNDS, EXACT = 200, 1e-9
 #: Topics in order; the first whose sign a text contains is its topic. Plain searches: no regex runs over the text.
 TOPICS = (
@@ -99,6 +100,43 @@ def probabilities(cells: dict[tuple[str, ...], float], targets: list[dict[str, f
     return {k: min(1.0, raked[k] * factor / present[k]) if v > 0 else 1.0 for k, v in cells.items()}
 
 
+def rake_table(cells: DataFrame, targets: list[dict[str, float]] | None) -> DataFrame:
+    """probabilities() of a cell table (source, lang, topic, n) that may be too large for the driver; the same steps."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    if not total:
+        return cells.select(*KEYS, F.lit(1.0).alias("probability"))
+    now = written(cells.filter("n > 0").select(*KEYS, (F.col("n") / total).alias("present"), (F.col("n") / total).alias("share")), "raked")
+    wanted = []
+    for axis, key in enumerate(KEYS):
+        if targets is None:
+            raised = now.groupBy(key).agg(F.pow(F.sum("present"), F.lit(TEMPER)).alias("target"))
+            wanted.append(written(raised, "targets"))  # rake() divides by their sum
+        else:
+            wanted.append(spark.createDataFrame([(k, float(v)) for k, v in targets[axis].items()], f"{key} string, target double"))
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for key, target in zip(KEYS, wanted, strict=True):
+            have = now.groupBy(key).agg(F.sum("share").alias("v")).join(target, key, "left")
+            have = written(have.select(key, "v", F.coalesce("target", F.lit(0.0)).alias("target")), "margin")
+            full = float(have.filter("v > 0").agg(F.sum("target")).first()[0] or 0)
+            want = F.col("target") / full if full else F.lit(0.0)
+            worst = max(worst, have.agg(F.max(F.abs(F.col("v") - want))).first()[0])
+            factor = have.select(key, F.when(F.col("v") > 0, want / F.col("v")).otherwise(0.0).alias("factor"))
+            now = written(now.join(factor, key).select(*KEYS, "present", (F.col("share") * F.col("factor")).alias("share")), "raked")
+        if worst < EXACT:
+            break
+    u = 0.0  # as in scale()
+    while True:
+        raked, present = now.filter(F.col("share") > F.lit(u) * F.col("present")).agg(F.sum("share"), F.sum("present")).first()
+        after = (raked - SHORT) / present if present else u
+        if after <= u * (1 + 1e-12):
+            break
+        u = after
+    chance = F.least(F.lit(1.0), F.col("share") / F.col("present") / u) if u else F.lit(0.0)
+    return now.select(*KEYS, chance.alias("probability")).union(cells.filter("n = 0").select(*KEYS, F.lit(1.0)))
+
+
 def draw(id_col: Column, text: Column) -> Column:
     """A number from 0 to 1 for each document."""
     return F.pmod(F.xxhash64(id_col, text, F.lit(23)), F.lit(1 << 52)) / float(1 << 52)
@@ -111,29 +149,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("none")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("none")).alias("lang"), topic_of(text).alias("topic"), token_count(text).alias("tokens"), draw(F.col(id_col), text).alias("draw"), *extra)
     light = rows.select("source", "lang", "topic", "tokens")
 
-    def largest(column: str) -> list[str]:
-        return [r[0] for r in light.groupBy(column).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), column).limit(MOST + 1).collect()]
-
-    def within(column: str, named: list[str]) -> Column:
-        return F.when(F.col(column).isin(named[:MOST]), F.col(column)).otherwise(F.lit("other")) if len(named) > MOST else F.col(column)
-
-    keys = ["source", "lang", "topic"]
-    found = light.groupBy(keys).agg(F.sum("tokens").alias("n"))
-    cells = {tuple(r[:3]): float(r[3]) for r in found.limit((MOST + 1) * 8).collect()}
-    margins = [F.col("source"), F.col("lang")]
-    if len(cells) >= (MOST + 1) * 8:  # far more sources or languages than margins: the small ones share one
-        margins = [within("source", largest("source")), within("lang", largest("lang"))]
-        cells = {tuple(r[:3]): float(r[3]) for r in light.select(margins[0].alias("source"), margins[1].alias("lang"), "topic", "tokens").groupBy(keys).agg(F.sum("tokens").alias("n")).collect()}
-    if targets is None:
-        targets = []
-        for axis in range(3):
-            have: dict[str, float] = {}
-            for k, v in cells.items():
-                have[k[axis]] = have.get(k[axis], 0.0) + v
-            targets.append(tempered(have))
-    chance = probabilities(cells, targets)
-    spark = df.sparkSession
-    weights = spark.createDataFrame([(*k, float(p)) for k, p in sorted(chance.items())], "m_source string, m_lang string, m_topic string, probability double")
-    out = rows.join(F.broadcast(weights), (margins[0] == F.col("m_source")) & (margins[1] == F.col("m_lang")) & (F.col("topic") == F.col("m_topic")))
+    found = light.groupBy(*KEYS).agg(F.sum("tokens").alias("n"))
+    few = found.limit(CELLS + 1).collect()
+    if len(few) > CELLS:
+        weights = written(rake_table(written(found, "cells"), targets), "weights")
+    else:
+        cells = {tuple(r[:3]): float(r[3]) for r in few}
+        if targets is None:
+            targets = []
+            for axis in range(3):
+                have: dict[str, float] = {}
+                for k, v in cells.items():
+                    have[k[axis]] = have.get(k[axis], 0.0) + v
+                targets.append(tempered(have))
+        chance = probabilities(cells, targets)
+        weights = F.broadcast(df.sparkSession.createDataFrame([(*k, float(p)) for k, p in sorted(chance.items())], "source string, lang string, topic string, probability double"))
+    out = rows.join(weights, list(KEYS))
     keep = (F.col("tokens") == 0) | (F.col("draw") < F.col("probability"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", keep.alias("kept"), *(["row"] if extra else []))

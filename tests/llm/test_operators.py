@@ -358,6 +358,24 @@ def test_mixing_kept_share_does_not_hang_on_a_rare_cell():
     assert mixing.probabilities({rare: 3.0}, [{"new": 0.0}, {}, {}]) == {rare: 0.0}
 
 
+def test_mixing_with_more_cells_than_the_driver_rakes(spark):
+    """600 sources x 2 languages x 4 topics: every one keeps its own margin, a source named `other` among them."""
+    signs = ["", " a@b", " icens", " | "]
+    rows = []
+    for s in range(600):
+        for g in range(2):
+            rows += [(len(rows) + t, "word " * (5 + s % 7 + 3 * g + t) + sign, f"s{s}" if s else "other", "xy"[g]) for t, sign in enumerate(signs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    named = {f"s{s}" if s else "other": (2 if s % 2 else 1) / 900 for s in range(600)}
+    for targets in (None, [named, {"x": 0.5, "y": 0.5}, {"prose": 0.25, "contact": 0.25, "legal": 0.25, "table": 0.25}]):
+        got = mixing.mix(df, targets=targets).collect()
+        cells = {(r.source, r.lang, r.topic): float(r.tokens) for r in got}
+        assert len(got) == len(cells) == 4800
+        margins = [mixing.tempered({m: sum(v for k, v in cells.items() if k[i] == m) for m in {k[i] for k in cells}}) for i in range(3)] if targets is None else targets
+        want = mixing.probabilities(cells, margins)
+        assert all(abs(r.probability - want[r.source, r.lang, r.topic]) < 1e-6 for r in got)
+
+
 def test_surrogates(spark, odd, empty):
     own = pii.Surrogates()
     text = "Mr. John Smith, mail j.smith.42@mail8.example.com or call +1 (255) 555-8013 from 42.144.35.254; card 4587121519400672, token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" password=b7db7aa4a5fcc78305. Maria Lopez. Again j.smith.42@mail8.example.com"
