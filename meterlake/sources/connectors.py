@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -43,6 +44,40 @@ def safe_end(path: str, limit: int | None = None) -> int:
     return 0
 
 
+def lines_back(path: str, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """complete_lines() of the file before the offset (the end of a line), the last one first; memory: a block and a line."""
+    with open(path, "rb") as f:
+        rest: list[bytes] = []  # what is read of the line that began before, its last part first
+        stop, at = end, end
+        while at > 0:
+            start = max(0, at - READ)
+            f.seek(start)
+            data = f.read(at - start)
+            upto = len(data)
+            while (cut := data.rfind(b"\n", 0, upto)) >= 0:
+                line = b"".join([data[cut + 1 : upto], *reversed(rest)])
+                if start + cut + 1 < stop:
+                    yield start + cut + 1, stop, line.rstrip(b"\r\n")
+                rest, stop, upto = [], start + cut + 1, cut
+                rest.append(data[cut : cut + 1])
+            rest.append(data[:upto])
+            at = start
+        if stop:
+            yield 0, stop, b"".join(reversed(rest)).rstrip(b"\r\n")
+
+
+def is_token_count(line: bytes) -> bool:
+    """Whether parse_rollouts() finds a snapshot of the counters in the line."""
+    if b"token_count" not in line:
+        return False
+    try:
+        record = json.loads(line)
+        at = record["payload"]
+        return record["type"] == "event_msg" and at["type"] == "token_count" and isinstance(at["info"]["total_token_usage"], dict) and isinstance(record["timestamp"], str)
+    except (ValueError, KeyError, TypeError):
+        return False
+
+
 class JsonlTail(DataSource):
     """Options: path; pattern (*.jsonl); start: `earliest`, or `latest` to skip what is there at the start;
     truncated: `end` to go on after the last line of a file that has shrunk, or `start` to read it again."""
@@ -72,7 +107,8 @@ class JsonlTailReader(SimpleDataSourceStreamReader):
         out: dict[str, int] = {}
         for p in self.files() if self.latest else ():
             try:
-                out[p] = safe_end(p)
+                end = safe_end(p)
+                out[p] = -1 - end if end else 0  # below -1: attached there, baseline not yet given
             except OSError:
                 out[p] = -1
         return out
@@ -86,12 +122,11 @@ class JsonlTailReader(SimpleDataSourceStreamReader):
             yield path, key, a, b, line.decode("utf-8", "replace"), None
 
     def _warm(self, path: str, end: int) -> Iterator[tuple]:
-        """The last record before the offset, as a baseline that adds nothing."""
-        last = None
-        for row in self._rows(path, max(0, end - READ), end):
-            last = row
-        if last:
-            yield (*last[:5], "ReplayRestore")
+        """The last token_count record before the offset, as a baseline that adds nothing."""
+        for a, b, line in lines_back(path, end):
+            if is_token_count(line):
+                yield path, file_hash(path), a, b, line.decode("utf-8", "replace"), "ReplayRestore"
+                return
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows: list[tuple] = []
@@ -99,27 +134,44 @@ class JsonlTailReader(SimpleDataSourceStreamReader):
         for path in self.files():
             try:
                 at, size = start.get(path, 0), os.path.getsize(path)
-                if at < 0:
-                    end[path] = safe_end(path)
-                    rows += self._warm(path, end[path])
+                if at == -1:
+                    stop = safe_end(path)
+                    rows += list(self._warm(path, stop))
+                    end[path] = stop
                     continue
+                attached, at = at < 0, -1 - at if at < 0 else at
                 if size < at:
-                    at = 0 if self.rewind else safe_end(path)
-                    if at:
-                        rows += self._warm(path, at)
+                    if not self.rewind:  # what follows the baseline is read by the next trigger
+                        stop = safe_end(path)
+                        rows += list(self._warm(path, stop))
+                        end[path] = stop
+                        continue
+                    attached, at = False, 0
                 stop = safe_end(path, at + READ)
+                own = list(self._warm(path, at)) if attached else []
                 if stop > at:
-                    rows += self._rows(path, at, stop)
+                    own += self._rows(path, at, stop)
+                rows += own
                 end[path] = max(at, stop)
             except OSError:  # unreadable just now: the state stays and the file is read later
                 continue
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """Replay of a batch after a restart: the same bytes give the same rows."""
+        """Replay of a batch after a restart: the same bytes give the same rows, baselines included."""
         for path, stop in end.items():
             at = start.get(path, 0)
-            if 0 <= at < stop:
+            if stop < 0 or at == stop:
+                continue
+            attached, at = at < -1, -1 - at if at < -1 else at
+            if at == -1 or (stop < at and not self.rewind):
+                yield from self._warm(path, stop)
+                continue
+            if stop < at:
+                attached, at = False, 0
+            if attached:
+                yield from self._warm(path, at)
+            if at < stop:
                 yield from self._rows(path, at, stop)
 
 

@@ -134,6 +134,42 @@ def test_sources_and_stream(spark, tmp_path):
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def _token_line(n):
+    return json.dumps({"timestamp": "2025-01-01T00:00:01Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"output_tokens": n}}}}) + "\n"
+
+
+@pytest.mark.parametrize("block", [8 << 20])
+def test_tail_baseline_on_attach(tmp_path, monkeypatch, block):
+    """start=latest, a last line of another type, truncation, and the replay of each batch."""
+    from meterlake.sources import connectors
+
+    monkeypatch.setattr(connectors, "READ", block)
+    log, other = tmp_path / "a.jsonl", json.dumps({"type": "other", "text": "token_count " * 30}) + "\n"
+    log.write_text(_token_line(1) + _token_line(500) + other * 3 + "{part")
+    (tmp_path / "b.jsonl").write_text(other)
+    tail = connectors.JsonlTailReader({"path": str(tmp_path), "start": "latest"})
+
+    def step(start):
+        rows, end = tail.read(start)
+        rows = list(rows)
+        assert list(tail.readBetweenOffsets(start, end)) == sorted(rows, key=lambda r: list(end).index(r[0]))
+        return [(r[4] + "\n", r[5]) for r in rows], end
+
+    got, at = step(tail.initialOffset())
+    assert got == [(_token_line(500), "ReplayRestore")]
+    assert step(at) == ([], at)
+    with log.open("a") as f:
+        f.write("}\n" + _token_line(530))
+    got = []
+    for _ in range(2):
+        rows, at = step(at)
+        got += rows
+    assert got == [("{part}\n", None), (_token_line(530), None)]
+    log.write_text(_token_line(40) + other)
+    got, at = step(at)
+    assert got == [(_token_line(40), "ReplayRestore")] and step(at) == ([], at)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
