@@ -44,6 +44,18 @@ def safe_end(path: str, limit: int | None = None) -> int:
     return 0
 
 
+def next_end(path: str, at: int) -> int:
+    """The offset after the first newline from an offset on; 0 where there is none."""
+    with open(path, "rb") as f:
+        f.seek(at)
+        while data := f.read(READ):
+            found = data.find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            at += len(data)
+    return 0
+
+
 def lines_back(path: str, end: int) -> Iterator[tuple[int, int, bytes]]:
     """complete_lines() of the file before the offset (the end of a line), the last one first; memory: a block and a line."""
     with open(path, "rb") as f:
@@ -148,6 +160,8 @@ class JsonlTailReader(SimpleDataSourceStreamReader):
                         continue
                     attached, at = False, 0
                 stop = safe_end(path, at + READ)
+                if stop <= at:
+                    stop = next_end(path, at + READ) or at
                 own = list(self._warm(path, at)) if attached else []
                 if stop > at:
                     own += self._rows(path, at, stop)

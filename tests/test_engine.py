@@ -138,7 +138,7 @@ def _token_line(n):
     return json.dumps({"timestamp": "2025-01-01T00:00:01Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"output_tokens": n}}}}) + "\n"
 
 
-@pytest.mark.parametrize("block", [8 << 20])
+@pytest.mark.parametrize("block", [7, 100, 8 << 20])
 def test_tail_baseline_on_attach(tmp_path, monkeypatch, block):
     """start=latest, a last line of another type, truncation, and the replay of each batch."""
     from meterlake.sources import connectors
@@ -170,6 +170,19 @@ def test_tail_baseline_on_attach(tmp_path, monkeypatch, block):
     assert got == [(_token_line(40), "ReplayRestore")] and step(at) == ([], at)
 
 
+def test_tail_record_longer_than_a_read(tmp_path, monkeypatch):
+    from meterlake.sources import connectors
+
+    monkeypatch.setattr(connectors, "READ", 64)
+    lines = ["a", "x" * 1000, "b", "c"]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n" + "y" * 300)
+    tail, at, got = connectors.JsonlTailReader({"path": str(tmp_path)}), {}, []
+    for _ in range(5):
+        rows, at = tail.read(at)
+        got += [r[4] for r in rows]
+    assert got == lines
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
