@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import give_back, released, text_of
+from meterlake.llm.common import give_back, released, slices, text_of
 
 MEMORY = 200_000
 #: Bytes of text that are encoded together.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Chunks of a slice whose ids are gathered at a time.
 STRETCH = 100_000
 
@@ -205,20 +205,6 @@ class PairIndexBPE:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.tokens.take(pa.array(flat))), " ")
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch of about `most` characters."""
-    import pyarrow.compute as pc
-
-    at, total = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        total += n or 0
-        if total >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, total = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -240,7 +226,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         gc.disable()
         bpe = PairIndexBPE(spec.value)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 flat, ends = bpe.encode_batch(part.column(1))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, bpe.decode(flat, ends)], names=["doc_id", "ids", "decoded"])

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.storage import discard, shared_dir, written
+
+__all__ = ["WS", "discard", "id_crc", "packed_search", "partitions", "released", "shared_dir", "slices", "table", "text_of", "text_slices", "written"]
+
 #: The six ASCII white-space characters, as a Java and Python regex.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -20,25 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    here = getattr(spark, "_meterlake_shared", None)
-    if here is None:
-        here = spark._meterlake_shared = tempfile.mkdtemp(prefix="meterlake-")
-    return here
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,13 +56,31 @@ def give_back() -> None:
         trim(0)
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run` for mapInArrow, whose worker gives its memory back when a task ends.
+def text_slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Stretches of an array of about `most` bytes of text; an empty array has none."""
+    upto = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)) + 1
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about `most` bytes of text in the given column."""
+    at = 0
+    for part in text_slices(batch.column(column), most):
+        yield batch.slice(at, len(part))
+        at += len(part)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, or over the arrays of an arrow_udf, whose worker gives its memory back when a task ends.
 
     Spark uses Python workers again, for other stages too, and idle ones count against the executor's memory.
     """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:

@@ -11,8 +11,8 @@ compared over its whole length: with every stretch of it, and, where the landmar
 GAP others between two, without those others. A token's parts at signs are compared as the one word they form; the Nystroem map K^-1/2 turns it into features of the kernel's
 space, a linear SVM (squared hinge) separates them, and a logistic fit on its margin gives the score.
 
-Fitting reads a bounded sample of labelled rows: about TRAIN texts of each label of at most TRAIN_CHARS characters,
-drawn by a hash of the id. Scoring reads whole texts. A stretch is compared with the landmarks that share most of its
+Fitting reads a bounded sample of labelled rows: about TRAIN texts of each label, drawn by a hash of the id; of texts over
+TRAIN_CHARS characters all distinct words. Scoring reads whole texts. A stretch is compared with the landmarks that share most of its
 letters; for all others the kernel counts as 0.
 
 Cases: null text counts as empty, and a text without words has the score of an empty one; without labels of both
@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from meterlake.llm.common import id_crc, released, text_of
+from meterlake.llm.common import id_crc, released, text_of, text_slices
 
 ORDER, DECAY = 3, 0.6
 LANDMARKS, LANDMARK_CHARS = 40, 14
@@ -41,7 +40,9 @@ STEMS = (4, 5, 6, 7)
 SHARPEN = 3
 TRAIN, TRAIN_CHARS = 2500, 20_000
 #: Bytes of text that are scored together, words whose stretches are looked at together, and stretches compared together.
-SLICE, WORDS, PAIRS = 8_000_000, 8192, 16_384
+SLICE, WORDS, PAIRS = 4_000_000, 8192, 16_384
+#: Words whose kernel values a task remembers.
+MEMORY = 300_000
 #: Letters that may stand between two of a landmark's.
 GAP = 2
 #: Words are looked at together with those of about their length; longer ones in stretches that overlap.
@@ -49,6 +50,7 @@ WIDTHS, OVERLAP = (8, 12, 16, 24, 96), LANDMARK_CHARS + (LANDMARK_CHARS - 1) * G
 THRESHOLD = 0.3
 #: Digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
+LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][\s.\-_*]){3,}[^\W\d_](?!\w)")
 
 
@@ -56,9 +58,10 @@ def plain_word(token: str) -> str:
     """The letters of a lower-case token."""
     if token.isalpha():
         return token
-    if any(c.isalpha() for c in token):
-        token = token.translate(LOOKALIKE)
-    return "".join(c for c in token if c.isalpha())
+    if not LETTER.search(token):
+        return ""
+    word = OTHER.sub("", token.translate(LOOKALIKE))
+    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
 def codes(words: list[str], width: int) -> np.ndarray:
@@ -128,6 +131,38 @@ class Kernel:
         self.length = (self.rows != 0).sum(axis=1)
         self.own = own_kernel(self.rows)
         self.set = letters(self.rows)
+        self.known: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words as runs of (mark, value) in one pool; run 0 is empty."""
+        self.known.clear()
+        self.start, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.mark, self.value = np.zeros(0, np.int16), np.zeros(0, np.float32)
+
+    def at(self, words: list[str]) -> np.ndarray:
+        """The run of each word. A word is compared once a task, as long as it is remembered."""
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        if len(self.known) + len(new) > MEMORY:
+            self.forget()
+            new = list(dict.fromkeys(words))
+        if new:
+            self.known.update(dict.fromkeys(new, 0))
+            some, value = self.near(new)
+            self.known.update((new[i], j) for j, i in enumerate(some.tolist(), start=len(self.count)))
+            row, mark = np.nonzero(value)
+            count = np.bincount(row, minlength=len(some))
+            self.start = np.concatenate([self.start, len(self.mark) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.mark, self.value = np.concatenate([self.mark, mark.astype(np.int16)]), np.concatenate([self.value, value[row, mark]])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def raise_by(self, runs: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """Raise out[owner] to the values of the runs."""
+        size = self.count[runs]
+        upto = np.cumsum(size) - size
+        spot = np.repeat(self.start[runs] - upto, size) + np.arange(int(size.sum()))
+        np.maximum.at(out.reshape(-1), np.repeat(owner * out.shape[1], size) + self.mark[spot], self.value[spot])
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(positions, values) of the words that have a kernel value with some landmark.
@@ -231,25 +266,19 @@ def pooled(kernel: Kernel, texts: pa.Array) -> np.ndarray:
     lower = pc.utf8_lower(texts)
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().dictionary_encode()
-    words = [plain_word(w) for w in coded.dictionary.to_pylist()]
-    some, value = kernel.near(words)
+    runs = kernel.at([plain_word(w) for w in coded.dictionary.to_pylist()])
     offsets = np.asarray(split.offsets)
     ends = offsets - offsets[0]
     out = np.zeros((len(texts), len(kernel.rows)), np.float32)
-    row = np.full(len(words), -1)
-    row[some] = np.arange(len(some))
-    at = row[np.asarray(coded.indices)]
-    hit = np.flatnonzero(at >= 0)
-    owner = np.searchsorted(ends, hit, side="right") - 1
-    np.maximum.at(out, owner, value[at[hit]])
+    at = runs[np.asarray(coded.indices)]
+    hit = np.flatnonzero(at)
+    kernel.raise_by(at[hit], np.searchsorted(ends, hit, side="right") - 1, out)
     # Words written with a space or sign after each letter.
     spaced = np.flatnonzero(np.asarray(pc.match_substring_regex(lower, r"(^|\s)\pL[\s.\-_*]\pL[\s.\-_*]\pL[\s.\-_*]\pL(\s|$|[\s.\-_*])").fill_null(False)))
     for d in spaced.tolist():
         joined = ["".join(c for c in run if c.isalpha()) for run in SPACED.findall(lower[d].as_py())]
         if joined:
-            _, extra = kernel.near(joined)
-            if len(extra):
-                out[d] = np.maximum(out[d], extra.max(axis=0))
+            kernel.raise_by(kernel.at(joined), np.full(len(joined), d), out)
     return out
 
 
@@ -325,7 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     share = {y: min(1.0, TRAIN / n) for y, n in counts.items()}
     u = F.pmod(F.xxhash64("i", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
     drawn = marked.filter(u < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).groupBy("i").agg(F.max("y").alias("y"))
-    texts = docs.filter(F.length(text_col) <= TRAIN_CHARS).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    # Features are maxima over words, so a long text loses by its distinct words only what is spelled letter by letter.
+    words = F.array_join(F.array_distinct(F.split(F.lower(text_col), r"\s+")), " ")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.when(F.length(text_col) <= TRAIN_CHARS, F.col(text_col)).otherwise(words).alias("t"))
     # The drawn ids are about 2 * TRAIN, whatever the input; repeated ids give one text.
     rows = texts.join(F.broadcast(drawn), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y").collect()
     if len({r[1] for r in rows}) < 2:
@@ -335,31 +366,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     return Classifier([r[0] for r in rows], toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
+def score(df: DataFrame, model: Classifier | None, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The named columns of every row in a struct `row`, and its score. Broadcast: LANDMARKS words and their weights.
 
-    at = total = 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        total += n or 0
-        if total >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, total = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
+    Only the text goes to the Python worker and only the score comes back; the columns stay in the JVM.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            value = [np.zeros(len(t)) if shared.value is None else shared.value.scores(t) for t in text_slices(texts, SLICE)]
+            yield pa.array(np.concatenate([np.zeros(0), *value]))
 
-def score(df: DataFrame, model: Classifier | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of every row in a struct `row`, and its score. Broadcast: LANDMARKS words and their weights."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    run = released(run)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                value = np.zeros(part.num_rows) if shared.value is None else shared.value.scores(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value.astype(np.float64))], names=["row", "score"])
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(columns)
 
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(released(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), scored(text_of(text_col)).alias("score"))
 
 
 def held_out_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
