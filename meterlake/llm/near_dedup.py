@@ -18,7 +18,8 @@ pair of a bucket is in one component or has been verified, and no link is lost a
 
 Result: one row a document with class_id (the smallest doc_id of its class) and class_size. Cases: null text counts as
 empty; a text without words is a class of its own; a class without any id has a null class_id; repeated rows are
-copies. An empty table gives no rows. Other columns are ignored.
+copies, and as nothing tells them apart (the same id and text) all of them are `first` where one is. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import WS, released, text_of, written
+from meterlake.llm.common import WS, discard, released, slices, text_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of text whose signatures are computed together.
-SLICE = 8_000_000
+SLICE = 2_000_000
 #: Nodes of a bucket that are compared with one another in one unit.
 CHUNK = 1024
 
@@ -125,20 +126,6 @@ def own_hash(text_col: str) -> Column:
     return F.xxhash64(text_of(text_col))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of a batch of about `most` bytes of text."""
-    import pyarrow.compute as pc
-
-    at = total = 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        total += n or 0
-        if total >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, total = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, digest of the words, hash of the text, n shingles, bands."""
     text = canonical(text_of(text_col))
@@ -246,9 +233,11 @@ def components(links: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         step = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        step = written(step.join(jump, "comp", "left").select("node", "old", F.coalesce("far", "comp").alias("comp")), "labels")
-        labels = step.select("node", "comp")
-        if step.filter("old <> comp").isEmpty():
+        step = written(step.join(jump, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"), (F.col("old") != F.coalesce("far", "comp")).alias("moved")), "labels")
+        discard(labels)
+        labels = step
+        if step.filter("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -260,8 +249,13 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket = member.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high")).filter("low.digest <> high").drop("high")
     shared = written(member.join(bucket, "key"), "buckets")
 
-    texts = df.select(canonical(text_of(text_col)).alias("text")).select(F.unhex(F.md5("text")).alias("digest"), "text")
-    texts = written(texts.join(shared.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
+    # The text of one row of each node; by id and hash as well, so that the copies of a hot text lie in many tasks.
+    bearer = nodes.join(shared.select("digest").distinct(), "digest", "left_semi").select(F.col("digest").alias("d"), F.col("low.doc_id").alias("i"), F.col("low.own").alias("o"))
+    bearer = written(bearer, "bearers")
+    texts = df.select(canonical(text_of(text_col)).alias("text"), F.col(id_col).alias("doc_id"), own_hash(text_col).alias("own")).select(F.unhex(F.md5("text")).alias("digest"), "doc_id", "own", "text")
+    same = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))
+    texts = written(texts.join(bearer, same, "left_semi").select("digest", "text").dropDuplicates(["digest"]), "texts")
+    discard(bearer)
 
     alike = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9  # else the union is too large
 
@@ -272,15 +266,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = written(ordered(star), "pairs")
     # The hub comes second, where verify() remembers its shingles.
     links = written(verify(checked.select(F.col("b").alias("a"), F.col("a").alias("b")), texts, threshold), "links")
+    discard(checked)
     comp = components(links)
-    known = shared.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    known = shared.join(comp.select(F.col("node").alias("digest"), "comp"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     known = known.filter("digest <> low.digest")
     open_ = known.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "size")
     rest = written(known.select("key", "digest", "n", "comp").join(open_, "key"), "open")
+    spent = [rest, shared, texts, links]
     if not rest.isEmpty():
+        spent += [comp]
         links = written(links.union(across(rest, nodes.select("digest", "bands"), texts, threshold)), "links")
         comp = components(links)
-    grouped = nodes.select("digest", "low", "copies").join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+        spent += [links]
+    discard(*spent)
+    grouped = nodes.select("digest", "low", "copies").join(comp.select(F.col("node").alias("digest"), "comp"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     classes = grouped.groupBy("comp").agg(F.min("low").alias("low"), F.sum("copies").alias("class_size"))
     classes = grouped.select("digest", "comp").join(classes, "comp").select("digest", F.col("low.doc_id").alias("class_id"), F.col("low.own").alias("low_own"), "class_size")
     out = rows.select("doc_id", "digest", "own", "n").join(classes, "digest", "left")
