@@ -9,7 +9,7 @@ word has its share of the corpus counts, add-one smoothed with room for one unse
 
 Training: counts of all training words; Baum-Welch starts from a bounded sample (SAMPLE texts, the starting point only)
 and then makes ROUNDS passes over all training texts, whose expected counts are aggregated across partitions in one
-shuffle of (class, STATES numbers) rows. For training a text is cut into segments of SEGMENT words.
+shuffle of (class, STATES numbers) rows. Texts are never cut: the recursions run over whole sequences.
 
 Counts of single words grow with the corpus and are never broadcast whole: the COMMON most frequent words (bounded in
 number and length) go to every task, which also takes the load off frequent keys; the other words of each text are
@@ -31,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_crc, released, text_of, written
+from meterlake.llm.common import discard, id_crc, released, slices, text_of, written
 
 STATES, OWN, HASHED = 8, 512, 2048
 CLASSES = OWN + HASHED + 1
 END = CLASSES - 1
-SAMPLE, SAMPLE_CHARS, START_ROUNDS, ROUNDS = 600, 20_000, 12, 2
-SEGMENT = 256
+SAMPLE, START_ROUNDS, ROUNDS = 600, 10, 2
+#: Steps of the recursions that are computed again in the backward pass.
+STRETCH = 32
+#: Texts of more words wait for one another in training, up to so many words (two bytes each).
+LONG, WAITING = 1500, 8_000_000
 COMMON, COMMON_BYTES = 150_000, 64
 #: Bytes of text that are taken together in training and in scoring.
 TRAIN_SLICE, SCORE_SLICE = 5_000_000, 12_000_000
@@ -51,19 +54,6 @@ def hashed_class_sql(word: Column) -> Column:
     return (F.crc32(F.right(word, F.lit(3)).cast("binary")) % HASHED + OWN).cast("int")
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
-
-    at = total = 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        total += n or 0
-        if total >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, total = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(position of each word in the list of distinct words, that list, words up to each text's start and the end)."""
     import pyarrow.compute as pc
@@ -87,67 +77,78 @@ def sequences(at: np.ndarray, classes: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 class Model:
-    """Start, transition and emission probabilities, and how often each state is visited."""
+    """Start, transition and emission probabilities."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, visits: np.ndarray):
-        self.start, self.move, self.emit, self.visits = start, move, emit, visits
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     @classmethod
     def random(cls, states: int = STATES) -> Model:
         rng = np.random.default_rng(5)
         emit = rng.gamma(2.0, size=(CLASSES, states))
-        return cls(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0), np.full(states, 1 / states))
+        return cls(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
 
     @classmethod
     def estimated(cls, counts: np.ndarray) -> Model:
         """From expected counts: CLASSES rows of emissions, STATES rows of moves, one row of starts."""
         states = counts.shape[1]
         emit, move, start = counts[:CLASSES] + 0.05, counts[CLASSES : CLASSES + states] + 0.1, counts[CLASSES + states] + 0.1
-        visits = counts[:CLASSES].sum(axis=0) + 0.1
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), visits / visits.sum())
+        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def expected_counts(model: Model, flat: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Baum-Welch expected counts over texts cut into segments."""
+    """Baum-Welch expected counts over whole texts.
+
+    The recursions run over all texts at once, the longest first, a step a word. The forward pass remembers only where
+    each stretch of STRETCH steps begins; the backward pass computes a stretch again before it walks through it, so
+    memory is bounded by the words of one stretch and not by the longest text.
+    """
     states = len(model.start)
     n = np.diff(stops)
-    pieces = -(-n // SEGMENT)
-    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = np.repeat(stops[:-1], pieces) + within * SEGMENT
-    size = np.minimum(SEGMENT, np.repeat(stops[1:], pieces) - at)
-    order = np.argsort(-size, kind="stable")
-    at, size, first = at[order], size[order], within[order] == 0
+    order = np.argsort(-n, kind="stable")
+    at, size = stops[:-1][order], n[order]
     longest = int(size.max(initial=0))
-    active = np.searchsorted(-size, -np.arange(longest), side="left")  # segments longer than t
     counts = np.zeros((CLASSES + states + 1, states))
     if not longest:
         return counts
-    alpha, base = np.zeros((int(size.sum()), states)), np.concatenate([[0], np.cumsum(active)])
-    scale, seen = np.zeros(len(alpha)), np.zeros(len(alpha), np.int32)
-    for t in range(longest):
+    active = np.append(np.searchsorted(-size, -np.arange(longest), side="left"), 0)  # texts longer than t
+
+    def step(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward probabilities after word t, their scale, and the words; x: those after the word before."""
         k = active[t]
-        here = slice(base[t], base[t] + k)
-        seen[here] = flat[at[:k] + t]
-        x = np.where(first[:k, None], model.start, model.visits) if t == 0 else alpha[base[t - 1] : base[t - 1] + k] @ model.move
-        x = x * model.emit[seen[here]]
-        scale[here] = x.sum(axis=1)
-        alpha[here] = x / scale[here, None]
-    beta = np.ones((active[-1], states))
-    for t in range(longest - 1, -1, -1):
-        here = slice(base[t], base[t] + active[t])
-        gamma = alpha[here] * beta
-        if t:
-            k = active[t]
-            out = beta * model.emit[seen[here]] / scale[here, None]
-            before = alpha[base[t - 1] : base[t - 1] + active[t - 1]]
-            counts[CLASSES : CLASSES + states] += model.move * (before[:k].T @ out)
-            beta = np.ones((active[t - 1], states))
-            beta[:k] = out @ model.move.T
-        else:
-            counts[-1] = gamma[first].sum(axis=0)
-        alpha[here] = gamma
-    for s in range(states):
-        counts[:CLASSES, s] = np.bincount(seen, weights=alpha[:, s], minlength=CLASSES)
+        seen = flat[at[:k] + t]
+        x = (np.broadcast_to(model.start, (k, states)) if t == 0 else x[:k] @ model.move) * model.emit[seen]
+        scale = x.sum(axis=1)
+        return x / scale[:, None], scale, seen
+
+    entries, x = [], np.zeros((0, states))
+    for t in range(longest):
+        if t % STRETCH == 0:
+            entries.append(x)
+        x = step(x, t)[0]
+    beta = np.ones((active[longest - 1], states))
+    later = None  # what the words after the stretch say of its last one: emission over scale, and their texts
+    for first in range(STRETCH * (len(entries) - 1), -1, -STRETCH):
+        x, inside = entries.pop(), []
+        for t in range(first, min(first + STRETCH, longest)):
+            x, scale, seen = step(x, t)
+            inside.append((x, scale, seen))
+        words, masses = [], []
+        for t in range(first + len(inside) - 1, first - 1, -1):
+            alpha, scale, seen = inside.pop()
+            if later is not None:
+                k = len(later)
+                counts[CLASSES : CLASSES + states] += model.move * (alpha[:k].T @ later)
+                beta = np.ones((len(alpha), states))
+                beta[:k] = later @ model.move.T
+            gamma = alpha * beta
+            words.append(seen)
+            masses.append(gamma)
+            later = beta * model.emit[seen] / scale[:, None]
+        seen, gamma = np.concatenate(words), np.concatenate(masses)
+        for s in range(states):
+            counts[:CLASSES, s] += np.bincount(seen, weights=gamma[:, s], minlength=CLASSES)
+    counts[-1] = masses[-1].sum(axis=0)
     return counts
 
 
@@ -203,39 +204,60 @@ def common_words(counts: DataFrame) -> dict[str, int]:
 
 
 def train_model(train: DataFrame, own: dict[str, int], rounds: int = ROUNDS) -> Model:
+    """A model from START_ROUNDS passes over about SAMPLE whole texts, the starting point, and `rounds` over all texts."""
     spark = train.sparkSession
+    total = train.count()
+    if not total:
+        return Model.estimated(np.zeros((CLASSES + 2, 1)))
+    columns = [f"v{s}" for s in range(STATES)]
 
     def coded(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         at, names, ends = words_of(texts)
         return sequences(at, np.fromiter((known.get(w) or hashed_class(w) for w in names), np.int32, len(names)), ends)
 
-    model = Model.random()
-    total = train.count()
-    if not total:
-        return Model.estimated(np.zeros((CLASSES + 2, 1)))
-    drawn = train.filter(F.length("text") <= SAMPLE_CHARS).filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / total) * (1 << 30)))
-    texts = pa.array([r[0] for r in drawn.select("text").limit(4 * SAMPLE).collect()], pa.string())
-    if len(texts):
-        flat, stops = coded(texts, own)
-        for _ in range(START_ROUNDS):
-            model = Model.estimated(expected_counts(model, flat, stops))
-    columns = [f"v{s}" for s in range(STATES)]
-    for _ in range(rounds):
+    def after(model: Model, rows: DataFrame) -> Model:
         shared = spark.sparkContext.broadcast((model, own))  # CLASSES x STATES numbers and OWN words
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, known = shared.value
             counts = np.zeros((CLASSES + STATES + 1, STATES))
+            waiting: list[np.ndarray] = []  # long texts; together they take as many steps as the longest of them
+
+            def settle() -> np.ndarray:
+                stops = np.concatenate([[0], np.cumsum([len(w) for w in waiting])])
+                flat = np.concatenate(waiting).astype(np.int32)
+                waiting.clear()
+                return expected_counts(now, flat, stops)
+
             for batch in batches:
                 for part in slices(batch, 0, TRAIN_SLICE):
-                    counts += expected_counts(now, *coded(part.column(0), known))
+                    flat, stops = coded(part.column(0), known)
+                    n = np.diff(stops)
+                    for i in np.flatnonzero(n > LONG).tolist():
+                        waiting.append(flat[stops[i] : stops[i + 1]].astype(np.int16))
+                    short = n <= LONG
+                    counts += expected_counts(now, flat[np.repeat(short, n)], np.concatenate([[0], np.cumsum(n[short])]))
+                    if sum(map(len, waiting)) > WAITING:
+                        counts += settle()
+            if waiting:
+                counts += settle()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), *[pa.array(counts[:, s]) for s in range(STATES)]], names=["i", *columns])
 
-        summed = train.select("text").mapInArrow(released(run), "i int, " + ", ".join(f"{c} double" for c in columns))
+        summed = rows.select("text").mapInArrow(released(run), "i int, " + ", ".join(f"{c} double" for c in columns))
         counts = np.zeros((CLASSES + STATES + 1, STATES))
         for r in summed.groupBy("i").agg(*[F.sum(c) for c in columns]).collect():  # one row for each class and state
             counts[r[0]] = r[1:]
-        model = Model.estimated(counts)
+        shared.unpersist()
+        return Model.estimated(counts)
+
+    model = Model.random()
+    drawn = written(train.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / total) * (1 << 30))).select("text"), "start")
+    if not drawn.isEmpty():
+        for _ in range(START_ROUNDS):
+            model = after(model, drawn)
+    discard(drawn)
+    for _ in range(rounds):
+        model = after(model, train)
     return model
 
 
