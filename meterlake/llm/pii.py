@@ -1,42 +1,53 @@
 """Surrogates for personal data: keyed, type-consistent, distinct.
 
 Entities found in the whole text are replaced by surrogates of the same type and format. Each type has a keyed
-permutation of its own domain (a Feistel network over the digits, letters or names it is written with, keyed by
-HMAC-SHA-256), so the same entity has the same surrogate in every document (coreference) and different entities have
-different ones (distinctness), without any table of what was replaced:
+permutation of its own domain without fixed points (a Feistel network F, keyed by HMAC-SHA-256, around a step of one:
+F^-1(F(x) + 1)), so the same entity has the same surrogate in every document (coreference), different entities have
+different ones (distinctness) and none stays as it was, without any table of what was replaced:
 
 * card: 13 to 19 digits with a right check digit, or 16 in a row; the first digit stays, the check digit is made anew;
+* iban: with right check digits; the country stays, the check digits are made anew;
 * phone: the digits after the country code, in the same layout;
-* ip: the four numbers, each from 1 to 254 (others stay as they are);
-* email: letters of the local part become letters of the same script and case, digits digits; the domain stays if it is
-  reserved for examples, else it becomes a reserved one;
-* secret: hexadecimal strings after password, token, key or secret become hexadecimal strings of the same length;
-* name: a known given name becomes another one of the same gender and script; a name after a title keeps its title
-  and gender, and its other parts become letters of the same script and case.
-
-Collision checks: a surrogate that equals another entity of the text stays, as that entity is replaced as well and the
-surrogates of one domain differ from one another. Two entities whose spellings lie in different domains (an address with a
-reserved and one with another domain, digits with and without leading zeros) can meet in one surrogate; the later one by
-kind and value is then permuted on until it is free, which gives it another surrogate in that text than elsewhere; should its cycle
-hold no free one, they share it. No text is refused. A fixed point of a permutation stays as it is.
-
-Cases: null text stays null, a text without entities stays as it is, overlapping finds go to the longest, and the
-repeated row gets the same text. Other columns are ignored.
+* ssn: the digits of ddd-dd-dddd;
+* ip: the four numbers, with leading zeros where they had some; version 6: the hexadecimal digits;
+* email: letters become letters of the same script and case, digits digits; a domain that is reserved for examples stays,
+  any other becomes one under the reserved .example;
+* secret: hexadecimal strings after password, token, key or secret become ones of the same length and case;
+* name: a known given name becomes another one of the same gender and script; a name after a title or a phrase of
+  introduction keeps these and its gender, and its other parts become letters of the same script and case.
+
+Letters of any script take part: what a letter may become are the letters of its own script and case in its block of
+Unicode. A string is an entity as it is spelled: case, leading zeros and layout tell entities apart, and each format class
+is mapped onto itself, so surrogates of one kind differ wherever the entities do. Collision check: should entities of
+two kinds meet in one surrogate (their formats allow it only for long digit strings), the later one by kind and value
+is permuted on in that text until it is free; should its cycle hold no free one, they share it. No text is refused.
+
+Cases: null text stays null and has no entities; empty texts stay empty; repeated rows are treated alike; an empty
+table gives no rows; other columns are ignored. Not found: names without title, introduction or known given name,
+national phone numbers other than ddd-ddd-dddd, (ddd) ... and those that begin with 0, and postal addresses.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"a key of the caller's own"
+from meterlake.llm.common import released, slices
+
 ROUNDS = 8
+#: Signs that are permuted together; a longer string is permuted stretch by stretch, each under what precedes it.
+STRETCH = 64
+#: Bytes of text whose surrogates are made together, and surrogates that a task remembers.
+SLICE, MEMORY = 4_000_000, 100_000
 
 #: Given names by gender and script. Both lists of a script are domains of a permutation.
 NAMES = {
@@ -47,23 +58,62 @@ NAMES = {
 }
 #: Titles by gender.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr"), "": ("Dr", "Prof")}
-#: Domains that never lead to a person.
-SAFE = ("example.com", "example.org", "example.net")
+#: Phrases that a name follows; each may begin with a capital.
+INTRODUCTIONS = ("my name is", "ich heiße", "je m'appelle", "me llamo", "меня зовут")
+#: Domains that never lead to a person, and the one that others are put under.
+SAFE, UNDER = ("example.com", "example.org", "example.net"), "example"
+#: Alphabets whose letters stand for one another.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 
 GIVEN = {n: k for k, names in NAMES.items() for n in names}
 TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 CAPITAL = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+"
-FIND: tuple[tuple[str, re.Pattern], ...] = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")),
-    ("secret", re.compile(r"(?i)(?:password|passwd|token|api_?key|key|secret)\s*[=:]\s*[\"']?([0-9a-f]{12,64})(?![0-9a-zA-Z])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)")),
-    ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)")),
-    ("card", re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")),
-    ("name", re.compile(rf"(?:(?<!\w)({'|'.join(sorted(TITLE, key=len, reverse=True))})\.? {CAPITAL}(?: {CAPITAL})?|(?<!\w)(?:{'|'.join(sorted(GIVEN))}) {CAPITAL})(?!\w)")),
+_TITLES = "|".join(sorted(TITLE, key=len, reverse=True))
+_INTROS = "|".join(f"[{p[0].upper()}{p[0]}]{p[1:]}" for p in INTRODUCTIONS)
+
+
+def by_initial(words: list[str]) -> str:
+    """A pattern of the words that looks at their first letters first."""
+    initials = "".join(sorted({w[0] for w in words}))
+    tails = (f"(?<={c})(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True))})" for c in initials)
+    return rf"[{initials}](?<!\w[{initials}])(?:{'|'.join(tails)})"
+
+
+#: Kind, what a text must hold for the pattern to be tried, and the pattern; group 1, where it took part, is the entity.
+#: Look-behinds follow the first sign, so that a search can skip to what may begin an entity.
+FIND: tuple[tuple[str, re.Pattern, re.Pattern], ...] = tuple(
+    (kind, re.compile(hint), re.compile(pattern))
+    for kind, hint, pattern in (
+        ("email", r"@", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
+        ("secret", r"[=:]\s*[\"']?[0-9a-fA-F]{12}", r"(?i)(?:password|passwd|token|api_?key|key|secret)\s*[=:]\s*[\"']?([0-9a-f]{12,64})(?![0-9a-zA-Z])"),
+        ("phone", r"\([0-9]{2}", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"),
+        ("phone", r"\+[0-9]", r"\+(?<![\w+]\+)\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
+        ("phone", r"[0-9]{3}[.-][0-9]{3}[.-][0-9]", r"\d(?<![\w+./-]\d)(?:\d{2}-\d{3}-\d{4}|\d{2}\.\d{3}\.\d{4})(?![\w-])"),
+        ("phone", r"0[0-9]{2,4}[/-][0-9]{5}", r"0(?<![\w+./-]0)\d{2,4}[/-]\d{5,8}(?![\w-])"),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-", r"\d(?<![\w./-]\d)\d{2}-\d{2}-\d{4}(?![\w-])"),
+        ("ip", r"[0-9]\.[0-9]{1,3}\.", r"\d(?<![\d.]\d)\d{0,2}(?:\.\d{1,3}){3}(?![\d.]*\d)"),
+        ("ip", r":[0-9a-fA-F]{0,4}:", r"(?<![\w:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\w:])"),
+        ("card", r"[0-9]{4}[ -]?[0-9]", r"\d(?<![\d-]\d)(?:\d{12,18}|\d{3}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])"),
+        ("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"[A-Z](?<!\w[A-Z])[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+        ("name", by_initial([*TITLE, *GIVEN]) + "[. ]", rf"{by_initial([*TITLE])}\.? {CAPITAL}(?: (?!(?:{_TITLES})(?!\w)){CAPITAL})?(?!\w)"),
+        ("name", by_initial([*GIVEN]) + " ", rf"{by_initial([*GIVEN])} {CAPITAL}(?!\w)"),
+        ("name", "|".join(p[1:] for p in INTRODUCTIONS), rf"(?<!\w)(?:{_INTROS}) ({CAPITAL}(?: {CAPITAL})?)(?!\w)"),
+    )
 )
-#: A text without any of these signs holds no entity but a name.
-HINT = re.compile(r"[@\d]")
-HAS_NAME = re.compile(rf"(?<!\w)(?:{'|'.join(sorted({*TITLE, *GIVEN}, key=len, reverse=True))})[. ]")
+
+
+@functools.cache
+def alphabet(sign: str) -> str | None:
+    """The signs that may stand for a sign; None for what is neither letter nor digit, or alone of its kind."""
+    for a in ALPHABETS:
+        if sign in a:
+            return a
+    kind = unicodedata.category(sign)
+    if sign.isascii() or kind not in ("Lu", "Ll", "Lt", "Lo", "Lm", "Nd"):
+        return None
+    script, low = unicodedata.name(sign, "").split(" ")[0], ord(sign) // 128 * 128
+    like = "".join(c for c in map(chr, range(low, low + 128)) if unicodedata.category(c) == kind and unicodedata.name(c, "").split(" ")[0] == script and not any(c in a for a in ALPHABETS))
+    return like if len(like) > 1 else None
 
 
 class Permutation:
@@ -71,22 +121,33 @@ class Permutation:
 
     def __init__(self, key: bytes, n: int):
         self.n, self.key = n, key
-        self.half = 1
-        while self.half * self.half < n:
-            self.half *= 2
+        self.half = 1 << -(-max(1, n - 1).bit_length() // 2)
+
+    def _round(self, r: int, right: int) -> int:
+        return int.from_bytes(hmac.digest(self.key, b"%d:%d" % (r, right), "sha512"), "big")
 
     def __call__(self, x: int) -> int:
-        if self.n < 2:
-            return x
         while True:
             left, right = divmod(x, self.half)
             for r in range(ROUNDS):
-                f = int.from_bytes(hmac.digest(self.key, b"%d:%d" % (r, right), "sha256")[:16], "big")
-                left, right = right, (left + f) % self.half
+                left, right = right, (left + self._round(r, right)) % self.half
             x = left * self.half + right
             if x < self.n:
                 return x
 
+    def back(self, x: int) -> int:
+        while True:
+            left, right = divmod(x, self.half)
+            for r in reversed(range(ROUNDS)):
+                left, right = (right - self._round(r, left)) % self.half, left
+            x = left * self.half + right
+            if x < self.n:
+                return x
+
+    def moved(self, x: int) -> int:
+        """Another number for every number, one for one: one cycle runs through all of them."""
+        return self.back((self(x) + 1) % self.n) if self.n > 1 else x
+
 
 def luhn(digits: str) -> int:
     """The check digit that belongs after the digits."""
@@ -94,91 +155,122 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
-ALPHABET = {c: a for a in ALPHABETS for c in a}
+def iban_check(country: str, rest: str) -> str:
+    """The two check digits that belong to a country and what follows them."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country) + '00') % 97:02d}"
+
+
+def digits_of(value: str) -> str:
+    return "".join(c for c in value if c in ALPHABETS[0])
+
+
+def refilled(layout: str, signs: str, taken: Callable[[str], bool]) -> str:
+    """The layout with its taken signs replaced in order."""
+    left = iter(signs)
+    return "".join(next(left) if taken(c) else c for c in layout)
 
 
 class Surrogates:
     """Surrogates under one key."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self.known: dict[tuple[str, str], str] = {}
 
-    def permute(self, kind: str, signs: str) -> str:
-        """Signs become signs of their own alphabets, by a permutation of all strings of this pattern."""
-        bases = [ALPHABET.get(c) for c in signs]
-        pattern = "".join(str(ALPHABETS.index(b)) if b else c for b, c in zip(bases, signs, strict=True))
-        number, size = 0, 1
-        for b, c in zip(bases, signs, strict=True):
-            if b:
-                number, size = number * len(b) + b.index(c), size * len(b)
-        number = Permutation(hashlib.sha256(self.key + f"|{kind}|{pattern}".encode()).digest(), size)(number)
-        out = []
-        for b, c in zip(reversed(bases), reversed(signs), strict=True):
-            if b:
-                number, i = divmod(number, len(b))
-                c = b[i]
-            out.append(c)
-        return "".join(reversed(out))
-
-    def numbered(self, kind: str, x: int, n: int) -> int:
-        return Permutation(hashlib.sha256(self.key + f"|{kind}|{n}".encode()).digest(), n)(x)
+    def moved(self, kind: str, x: int, n: int) -> int:
+        return Permutation(hashlib.sha256(self.key + f"|{kind}|{n}".encode()).digest(), n).moved(x)
+
+    def mixed(self, kind: str, numbers: list[int], sizes: list[int]) -> list[int]:
+        """Numbers below their sizes become others, all together."""
+        x = 0
+        for number, size in zip(numbers, sizes, strict=True):
+            x = x * size + number
+        total = 1
+        for size in sizes:
+            total *= size
+        x, out = self.moved(f"{kind}|{sizes}", x, total), []
+        for size in reversed(sizes):
+            x, number = divmod(x, size)
+            out.append(number)
+        return out[::-1]
+
+    def permute(self, kind: str, signs: str, of: Callable[[str], str | None] = alphabet) -> str:
+        """Signs become signs of their own alphabets, by permutations of all strings of this pattern."""
+        bases = [of(c) for c in signs]
+        pattern = hashlib.sha256("".join(b[0] if b else c for b, c in zip(bases, signs, strict=True)).encode())
+        at = [i for i, b in enumerate(bases) if b]
+        out = list(signs)
+        for j in range(0, len(at), STRETCH):
+            some = at[j : j + STRETCH]
+            own = [bases[i] for i in some]
+            numbers = self.mixed(f"{kind}|{pattern.hexdigest()}", [b.index(signs[i]) for i, b in zip(some, own, strict=True)], [len(b) for b in own])
+            for i, b, number in zip(some, own, numbers, strict=True):
+                out[i] = b[number]
+            pattern.update("".join(signs[i] for i in some).encode())
+        return "".join(out)
+
+    def hexadecimal(self, kind: str, value: str) -> str:
+        """Hexadecimal digits, with capitals and small letters where the value has such, and only there."""
+        small, large = any(c.islower() for c in value), any(c.isupper() for c in value)
+        base = "0123456789" + "abcdef" * small + "ABCDEF" * large
+        while True:
+            value = self.permute(kind, value, lambda _: base)
+            if any(c.islower() for c in value) == small and any(c.isupper() for c in value) == large:
+                return value
 
     def card(self, value: str) -> str:
-        digits = re.sub(r"\D", "", value)
-        inner = self.permute("card", digits[1:-1])
-        valid = luhn(digits[:-1])
-        new = digits[0] + inner
-        new += str((luhn(new) + int(digits[-1]) - valid) % 10)
-        left = iter(new)
-        return "".join(next(left) if c.isdigit() else c for c in value)
+        digits = digits_of(value)
+        new = digits[0] + self.permute("card", digits[1:-1])
+        new += str((luhn(new) + int(digits[-1]) - luhn(digits[:-1])) % 10)
+        return refilled(value, new, str.isdecimal)
+
+    def iban(self, value: str) -> str:
+        signs = value.replace(" ", "")
+        rest = self.permute("iban", signs[4:])
+        return refilled(value, signs[:2] + iban_check(signs[:2], rest) + rest, lambda c: c != " ")
 
     def phone(self, value: str) -> str:
         code = re.match(r"\+\d{1,3}(?=\D)", value)
         keep = code.group(0) if code else ""
         rest = value[len(keep) :]
-        new = iter(self.permute("phone" + keep, re.sub(r"\D", "", rest)))
-        return keep + "".join(next(new) if c.isdigit() else c for c in rest)
+        return keep + refilled(rest, self.permute("phone" + keep, digits_of(rest)), lambda c: c in ALPHABETS[0])
+
+    def ssn(self, value: str) -> str:
+        return self.permute("ssn", value)
 
     def ip(self, value: str) -> str:
-        parts = [int(p) for p in value.split(".")]
-        if any(not 1 <= p <= 254 for p in parts):
-            return ".".join(str(self.numbered(f"ip{i}", p - 1, 254) + 1) if 1 <= p <= 254 else str(p) for i, p in enumerate(parts))
-        x = 0
-        for p in parts:
-            x = x * 254 + p - 1
-        x = self.numbered("ip", x, 254**4)
-        out = []
-        for _ in range(4):
-            x, p = divmod(x, 254)
-            out.append(str(p + 1))
-        return ".".join(reversed(out))
+        if ":" in value:
+            return refilled(value, self.hexadecimal("ip", value.replace(":", "")), lambda c: c != ":")
+        parts = value.split(".")
+        padded = [p[0] == "0" and len(p) > 1 for p in parts]
+        numbers = self.mixed("ip", [int(p) for p in parts], [10 ** (len(p) - 1) if z else 256 for p, z in zip(parts, padded, strict=True)])
+        return ".".join(str(x).zfill(len(p)) if z else str(x) for x, p, z in zip(numbers, parts, padded, strict=True))
 
     def email(self, value: str) -> str:
         local, _, domain = value.rpartition("@")
         low = domain.lower()
-        if not low.endswith(SAFE):  # the domain's own letters go in, so that distinct addresses stay distinct
-            local, domain = f"{local}.{re.sub(r'[^a-z0-9]', '', low)}", SAFE[0]
-        return f"{self.permute('email', local)}@{domain}"
+        if any(low == s or low.endswith("." + s) for s in SAFE):
+            return f"{self.permute('email', local)}@{domain}"
+        return f"{self.permute('email', value)}.{UNDER}"
 
     def secret(self, value: str) -> str:
-        size = 16 ** len(value)
-        new = f"{self.numbered('secret', int(value, 16), size):0{len(value)}x}"
-        return new.upper() if value.isupper() else new
+        return self.hexadecimal("secret", value)
 
     def name(self, value: str) -> str:
         parts, gender, out = value.split(" "), "", []
         for i, part in enumerate(parts):
             title = TITLE.get(part.rstrip("."))
-            if title is not None and i == 0:
+            if title is not None and i == 0 and len(parts) > 1:
                 gender = title
                 out.append(part)
             elif part in GIVEN:
                 same = NAMES[GIVEN[part]]
-                out.append(same[self.numbered("".join(GIVEN[part]), same.index(part), len(same))])
+                out.append(same[self.moved("".join(GIVEN[part]), same.index(part), len(same))])
             else:
-                out.append(self.permute("name" + gender, part))
+                new = self.permute("name" + gender, part)
+                while new in GIVEN:  # what is no given name doesn't become one
+                    new = self.permute("name" + gender, new)
+                out.append(new)
         return " ".join(out)
 
     def of(self, kind: str, value: str) -> str:
@@ -186,7 +278,7 @@ class Surrogates:
         new = self.known.get((kind, value))
         if new is None:
             new = getattr(self, kind)(value)
-            if len(self.known) > 100_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             self.known[kind, value] = new
         return new
@@ -220,43 +312,51 @@ class Surrogates:
         return "".join([*out, text[at:]]), made
 
 
+def is_entity(kind: str, value: str) -> bool:
+    """Whether what a pattern found holds what the kind's rules demand."""
+    if kind == "card":
+        digits = digits_of(value)
+        return len(digits) == 16 or luhn(digits[:-1]) == int(digits[-1])
+    if kind == "ip":
+        return any(c.isdigit() for c in value) and value.count(":") > 2 if ":" in value else all(int(p) <= 255 for p in value.split("."))
+    if kind == "iban":
+        signs = value.replace(" ", "")
+        return 15 <= len(signs) <= 34 and signs[2:4] == iban_check(signs[:2], signs[4:])
+    return True
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities, in order and apart."""
+    """(start, end, kind) of the entities, in order and apart; of those that overlap the longest, then the first."""
     spans = []
-    signs = HINT.search(text) is not None
-    for kind, pattern in FIND:
-        if not (HAS_NAME.search(text) if kind == "name" else signs):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if kind == "secret" else m.span()
-            if kind == "card":
-                digits = re.sub(r"\D", "", m.group(0))
-                if not (len(digits) == 16 or luhn(digits[:-1]) == int(digits[-1])):
-                    continue
-            if kind == "ip" and any(int(p) > 255 for p in m.group(0).split(".")):
-                continue
-            spans.append((a, b, kind))
+    for kind, hint, pattern in FIND:
+        if hint.search(text):
+            for m in pattern.finditer(text):
+                a, b = m.span(1) if pattern.groups and m.group(1) is not None else m.span()
+                if is_entity(kind, text[a:b]):
+                    spans.append((a, b, kind))
     spans.sort(key=lambda s: (s[0] - s[1], s[0]))
-    taken: list[tuple[int, int, str]] = []
-    for a, b, kind in spans:
-        if all(b <= x or y <= a for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
+    taken: list[tuple[int, int, str]] = []  # in order; a new one meets its two neighbours only
+    for span in spans:
+        i = bisect.bisect(taken, span)
+        if (not i or taken[i - 1][1] <= span[0]) and (i == len(taken) or span[1] <= taken[i][0]):
+            taken.insert(i, span)
+    return taken
 
 
-def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """doc_id, text with surrogates, and entities: array of (start, end, kind, surrogate), for every row."""
+def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text with surrogates, and entities: array of (start, end, kind, surrogate), for every row. The key is the caller's secret."""
     kind = df.schema[id_col].dataType.simpleString()
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Surrogates(key)
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())])
         for batch in batches:
-            texts, entities = [], []
-            for text in batch.column(1).to_pylist():
-                new, found = (None, []) if text is None else own.replace(text)
-                texts.append(new)
-                entities.append([dict(zip(("start", "end", "kind", "surrogate"), f, strict=True)) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(entities, pa.list_(span))], names=["doc_id", "text", "entities"])
-
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, entities array<struct<start int, end int, kind string, surrogate string>>")
+            for part in slices(batch, 1, SLICE):
+                texts, entities = [], []
+                for text in part.column(1).to_pylist():
+                    new, found = (None, []) if text is None else own.replace(text)
+                    texts.append(new)
+                    entities.append([dict(zip(("start", "end", "kind", "surrogate"), f, strict=True)) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(entities, pa.list_(span))], names=["doc_id", "text", "entities"])
+
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, text string, entities array<struct<start int, end int, kind string, surrogate string>>")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from meterlake.llm import bpe, exact_dedup, hmm, langid, mixing, near_dedup, pii, sharding, topk, toxicity
 from meterlake.llm.common import table
 
+#: The key of the registered query only, so that its result can be repeated; callers bring their own secret.
+OP7_KEY = b"registered query of operator 7"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -36,7 +39,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), OP7_KEY).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
