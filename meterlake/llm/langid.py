@@ -6,7 +6,8 @@ smallest sum wins. The score is a softmax over the sums (in bits a letter, so th
 a text whose margin over the runner-up is under `reject` of the smallest sum is not `accepted`.
 
 The dictionaries are fitted on a bounded sample: about DOCS texts a language, PART characters of each, DICT bytes in
-all, drawn uniformly by a hash of the id. Everything else reads whole texts.
+all, drawn uniformly by a hash of the id; with more than TOTAL / DICT languages, as much less for each of them, so that the
+driver and every task hold TOTAL bytes at most. Everything else reads whole texts.
 
 Cases: a text that is null, empty or without letters is `und` with score 0 and not accepted; so is every text if
 nothing can be learned. Ties go to the language first by name. A repeated row is predicted like the first; other
@@ -23,21 +24,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_crc, text_of
+from meterlake.llm.common import id_crc, released, slices, text_of
 
-DOCS, PART, DICT = 300, 1200, 98_304
+DOCS, PART, DICT, TOTAL = 300, 1200, 98_304, 64 << 20
 CHUNK = 2048
+#: Bytes of text that are predicted together.
+SLICE = 4_000_000
 #: zstandard's match finder: four-byte matches, a lazy parse. Faster levels miss the short words that tell languages apart.
 FINDER = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 3, "min_match": 4, "strategy": 4}
 #: The share of the smallest sum that the runner-up must be above it.
 REJECT = 0.02
+#: Runs of letters, and of the few signs like a raised 2 or a Roman numeral that are no letters.
+WORD = re.compile(r"[^\W\d_]+")
 #: Bits a letter by which one language must beat another for odds of e.
 SOFT = 0.08
 
 
 def plain(text: str) -> str:
     """What is compressed: lower case, everything but letters a space."""
-    return " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    words = WORD.findall(text.lower())
+    return " ".join(w for w in (w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in words) if w)
 
 
 def fit(df: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
@@ -46,14 +52,15 @@ def fit(df: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS / n))]), F.col("lang"))
+    size = min(DICT, TOTAL // len(counts))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS * size / DICT / n))]), F.col("lang"))
     drawn = rows.filter((F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)) < share)
     # The stretch starts somewhere in the text: a text's opening is no better sample than its middle.
     start = F.pmod(F.xxhash64("i", F.lit(5)), F.greatest(F.lit(1), F.length("t") - PART)).cast("int") + 1
     parts: dict[str, set[str]] = {}
     for lang, part in drawn.select("lang", F.substring("t", start, F.lit(PART))).toLocalIterator():
         parts.setdefault(lang, set()).add(plain(part))
-    return {k: (" ".join(sorted(v)).encode()[-DICT:] or b" ") for k, v in sorted(parts.items())}
+    return {k: (" ".join(sorted(v)).encode()[-size:] or b" ") for k, v in sorted(parts.items())}
 
 
 def predict(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -71,7 +78,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id
             how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **FINDER)
             content.precompute_compress(compression_params=how)
             coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=content).compress)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 data = plain(text).encode()
@@ -87,7 +94,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id
             lang, score, margin, accepted = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "margin", "accepted"])
 
-    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, accepted boolean")
+    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double, margin double, accepted boolean")
 
 
 def held_out_query(docs: DataFrame) -> DataFrame:

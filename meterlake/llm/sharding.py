@@ -10,6 +10,8 @@ for each cell) goes to the driver, which walks the ring once and returns interva
 (shard, first slot). A row's rank in its arc is its cell's offset plus its row number in the cell, so the text never
 moves and the one exchange carries a few numbers a row.
 
+Rows with equal texts are no unit: the law counts rows, so a group of copies is dealt over shards like any others.
+
 Cases: null text has size 8 and the crc32 of no bytes; repeated rows share a point and take neighbouring slots; a
 null id hashes as the empty text. An empty table gives no rows. Other columns are ignored.
 """
