@@ -106,6 +106,34 @@ def test_sharding_walk_against_single_rows():
             at = (at + 1) % 60
 
 
+def test_sharding_against_single_rows(spark):
+    """Every row walks the ring by itself: first those that find room at home, arc by arc, then the overflow clockwise."""
+    texts = ["hot text"] * 400 + [f"text {i}" for i in range(800)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes = sharding.ring(5, 4)
+    at = df.select("doc_id", sharding.point(F.col("doc_id").cast("string"), F.col("text")).alias("p")).collect()
+    arcs = {i: [] for i in range(len(nodes))}
+    for r in sorted(at, key=lambda r: (bytes(r.p), r.doc_id)):
+        before = sum(p <= int.from_bytes(r.p, "big") for p, _ in nodes)
+        arcs[before % len(nodes)].append(r.doc_id)
+    n = len(texts)
+    room, over, home = [n // 5 + (s < n % 5) for s in range(5)], [], {}
+    for arc in range(len(nodes)):
+        for i in arcs[arc]:
+            s = nodes[arc][1]
+            if room[s]:
+                room[s], home[i] = room[s] - 1, s
+            else:
+                over.append((arc, i))
+    for arc, i in over:
+        while not room[nodes[arc % len(nodes)][1]]:
+            arc += 1
+        s = nodes[arc % len(nodes)][1]
+        room[s], home[i] = room[s] - 1, s
+    got = sharding.shard(df, shards=5, vnodes=4).collect()
+    assert {r.doc_id: r.shard for r in got} == home
+
+
 def test_topk_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(400, 20)).round(1)
@@ -113,15 +141,39 @@ def test_topk_against_all_pairs(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 20), (None, vectors[0].tolist()), (3, vectors[3].tolist()), (403, []), (404, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("r"))
     found = topk.topk(df, F.col("vec_id") % 50 == 0)
-    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows[:400]] + [(3, np.floor(256 * vectors[3]).astype(int))]
-    expect = set()
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows[:400]] + [(3, np.floor(256 * vectors[3]).astype(int)), (None, np.floor(256 * vectors[0]).astype(int))]
+    expect = []
     for q in range(0, 400, 50):
-        score = sorted(((-int(whole[q][1] @ v), i) for i, v in whole if i != q))[:5]
-        expect |= {(q, r, i, -s) for r, (s, i) in enumerate(score, 1)}
-    assert {tuple(r) for r in found.collect()} == expect
+        score = sorted(((-int(whole[q][1] @ v), i is None, i) for i, v in whole if i != q), key=lambda x: x[:2] + (x[2] or 0,))[:5]
+        expect += [(q, r, i, -s) for r, (s, _, i) in enumerate(score, 1)]
+    assert sorted(tuple(r) for r in found.collect() if r.vec_id is not None) == sorted(e for e in expect if e[2] is not None)
+    assert found.filter("vec_id is null").count() == sum(e[2] is None for e in expect)
     assert topk.topk(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_topk_of_large_and_empty_and_repeated_vectors(spark, monkeypatch):
+    """Components of any finite size, vectors without components, a row that occurs many times, several blocks and groups."""
+    monkeypatch.setattr(topk, "UNIT", 8 * 3 * 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).round(2).tolist()) for i in range(300)]
+    rows += [(500, [2.0**60, 1.5, -(2.0**70)]), (501, [1e300, 0.0, 0.1]), (550, [-(2.0**54), 2.0**54, 3.0]), (600, []), (601, []), (602, [])] + [(7, rows[7][1])] * 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {}
+    for i, v in rows:
+        whole.setdefault(i, [[int(x) * 256 if abs(x) >= 2**53 else int(np.floor(256 * x)) for x in v], 0])[1] += 1
+    got = {}
+    for r in topk.topk(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, (own, _) in whole.items():
+        if q % 50:
+            continue
+        score = []
+        for i, (v, n) in whole.items():
+            if i != q and len(v) == len(own):
+                score += [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v, strict=True)))), i)] * n
+        assert sorted(got[q]) == [(r, i, -s) for r, (s, i) in enumerate(sorted(score)[:5], 1)], q
+
+
 def test_topk_prunes_nothing_that_counts():
     rng = np.random.default_rng(4)
     for dims in (1, 16, 40):
@@ -240,6 +292,25 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((held[0] == held[1]).mean() - exact) < 0.03
 
 
+def test_language_id_by_plain_compression(spark, sf):
+    """Every text against every dictionary, without the operator's loop."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    content = langid.fit(docs, F.lit(True))
+    how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **langid.FINDER)
+    rows = {r.doc_id: r for r in langid.predict(docs, content).collect()}
+    for r in docs.collect():
+        data = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower())).encode()
+        size = {}
+        for lang, c in content.items():
+            own = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size[lang] = sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=own).compress(data[i : i + langid.CHUNK])) for i in range(0, len(data), langid.CHUNK))
+        assert rows[r.doc_id].lang_pred == (min(sorted(size), key=size.get) if data else "und")
+    signs = spark.createDataFrame([(1, "² ½ Ⅷ 12"), (2, "²x")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(signs, content).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_language_id(spark, odd, empty, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in langid.held_out_query(docs).collect()}
@@ -297,6 +368,49 @@ def test_toxicity_reads_whole_words():
     assert (score[-2:] < toxicity.THRESHOLD).all(), score
 
 
+def test_pooled_by_single_words():
+    """What a text's words, one by one and stretch by stretch, have in common with the landmarks; remembered or not."""
+    import pyarrow as pa
+
+    marks = ["grumbolt", "vexnit", "snarf"]
+    kernel = toxicity.Kernel(marks)
+    own = {m: toxicity.raw_kernel(toxicity.codes([m], 20), toxicity.codes([m], 20))[0, 0] for m in marks}
+
+    def value(x, m):
+        a, b = toxicity.codes([x], 20), toxicity.codes([m], 20)
+        return toxicity.raw_kernel(a, b)[0, 0] / np.sqrt(max(toxicity.raw_kernel(a, a)[0, 0] * own[m], 1e-12))
+
+    def slow(word, m):
+        size, found = len(m), [0.0]
+        if len(word) >= max(toxicity.ORDER, 0.7 * size):
+            for i in range(max(1, len(word) - size + 1)):
+                x = word[i : i + size + 2]
+                if len(set(x) & set(m)) >= 0.7 * len(set(m)):
+                    found.append(value(x, m))
+        ends = {i: i for i, c in enumerate(word) if c == m[0]}  # end -> latest beginning
+        for c in m[1:]:
+            ends = {j: max(ends[i] for i in range(j - toxicity.GAP - 1, j) if i in ends) for j in range(len(word)) if word[j] == c and any(i in ends for i in range(j - toxicity.GAP - 1, j))}
+        for z, a in ends.items():
+            found.append(value("".join(c for c in word[a : z + 1] if c in m)[: size + 2], m))
+        return max(found) ** toxicity.SHARPEN
+
+    texts = ["a grumbolt xgrxumxbolty", "vexnit, ve-x-n-i-t snarfsnarf", "sqnqaqrqf boltgrum tinxev " + "la" * 60 + "snraf", "", "nothing here"]
+    want = [[max([slow(toxicity.plain_word(t), m) for t in text.split()], default=0) for m in marks] for text in texts]
+    for _ in range(2):
+        assert np.allclose(toxicity.pooled(kernel, pa.array(texts)), want, atol=1e-4)
+
+
+def test_toxicity_forgets_and_goes_on(monkeypatch):
+    import pyarrow as pa
+
+    kernel = toxicity.Kernel(["grumbolt", "vexnit"])
+    texts = [pa.array([f"grumbolt vexnit{i} w{i}", "vexxnit"]) for i in range(8)]
+    first = [toxicity.pooled(kernel, t) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMORY", 3)
+    kernel.forget()
+    assert all((toxicity.pooled(kernel, t) == f).all() for t, f in zip(texts, first, strict=True))
+
+
 def test_pair_kernel_like_the_kernel_of_all_pairs():
     rows = toxicity.codes(["stupid", "stuxpid", "aabbaa", "cat"], 12)
     assert np.allclose(toxicity.pair_kernel(rows, rows[::-1]), np.diagonal(toxicity.raw_kernel(rows, rows[::-1])), rtol=1e-4)
@@ -340,6 +454,42 @@ def test_mixing_meets_its_targets(spark, odd, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_by_hand(spark, sf):
+    """The whole query on a small table: cells counted, raked and scaled by loops of the test's own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    drawn = {r[0]: r[1] for r in docs.select("doc_id", mixing.draw(F.col("doc_id"), F.coalesce("text", F.lit("")))).collect()}
+    cell, tokens = {}, {}
+    for r in docs.collect():
+        t = r.text or ""
+        topic = next((n for n, signs in mixing.TOPICS if any(s in t for s in signs)), "prose")
+        cell[r.doc_id], tokens[r.doc_id] = (r.source or "none", r.lang or "none", topic), len([w for w in WS.split(t) if w])
+    mass = Counter()
+    for i, k in cell.items():
+        mass[k] += tokens[i]
+    total = sum(mass.values())
+    share = {k: v / total for k, v in mass.items()}
+    now = dict(share)
+    for _ in range(500):
+        for axis in range(3):
+            have, want = Counter(), Counter()
+            for k, v in now.items():
+                have[k[axis]] += v
+            for k, v in mass.items():
+                want[k[axis]] += v
+            want = {m: v**mixing.TEMPER for m, v in want.items() if v}
+            now = {k: v * want[k[axis]] / sum(want.values()) / have[k[axis]] if v else 0.0 for k, v in now.items()}
+    low, high = 0.0, 1e6  # the largest factor at which cells lack SHORT of what is wanted
+    for _ in range(200):
+        mid = (low + high) / 2
+        lack = sum(max(0.0, now[k] * mid - share[k]) for k in share) / mid
+        low, high = (mid, high) if lack <= mixing.SHORT else (low, mid)
+    for i, r in got.items():
+        p = min(1.0, now[cell[i]] * low / share[cell[i]]) if share[cell[i]] else 1.0
+        assert (r.source, r.lang, r.topic, r.tokens) == (*cell[i], tokens[i]) and abs(r.probability - p) < 1e-6
+        assert r.kept == (tokens[i] == 0 or drawn[i] < r.probability)
+
+
 def test_mixing_kept_share_does_not_hang_on_a_rare_cell():
     def kept(cells):
         margins = [{k[i]: sum(v for c, v in cells.items() if c[i] == k[i]) for k in cells} for i in range(3)]
@@ -377,7 +527,7 @@ def test_mixing_with_more_cells_than_the_driver_rakes(spark):
 
 
 def test_surrogates(spark, odd, empty):
-    own = pii.Surrogates()
+    own = pii.Surrogates(b"k")
     text = "Mr. John Smith, mail j.smith.42@mail8.example.com or call +1 (255) 555-8013 from 42.144.35.254; card 4587121519400672, token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" password=b7db7aa4a5fcc78305. Maria Lopez. Again j.smith.42@mail8.example.com"
     new, spans = own.replace(text)
     assert Counter(k for _, _, k, _ in spans) == Counter(email=2, phone=1, ip=1, card=1, secret=2, name=2)
@@ -388,12 +538,62 @@ def test_surrogates(spark, odd, empty):
     assert emails[0] == emails[1] and emails[0].endswith("@mail8.example.com")
     given = {s.split()[0] for _, _, k, s in spans if k == "name" and not s.startswith("Mr")}
     assert given <= set(pii.NAMES["f", "latin"])
-    assert pii.Surrogates().replace(text)[0] == new and pii.Surrogates(b"other").replace(text)[0] != new
+    assert pii.Surrogates(b"k").replace(text)[0] == new and pii.Surrogates(b"other").replace(text)[0] != new
     cards = {own.card(f"4{x:015d}") for x in range(3000)}
-    assert len(cards) == 3000 and len({own.ip(f"10.0.{x // 250 + 1}.{x % 250 + 1}") for x in range(3000)}) == 3000
+    assert len(cards) == 3000 and len({own.ip(f"10.0.{x // 250}.{x % 250}") for x in range(3000)}) == 3000
     perm = pii.Permutation(b"k", 1000)
-    assert sorted(perm(x) for x in range(1000)) == list(range(1000))
-    assert pii.pseudonymise(odd).count() == len(ODD) and pii.pseudonymise(empty).collect() == []
+    assert sorted(perm(x) for x in range(1000)) == list(range(1000)) and all(perm.back(perm(x)) == x for x in range(1000))
+    assert sorted(perm.moved(x) for x in range(1000)) == list(range(1000)) and all(perm.moved(x) != x for x in range(1000))
+    assert pii.pseudonymise(odd, b"k").count() == len(ODD) and pii.pseudonymise(empty, b"k").collect() == []
+    rows = {r.doc_id: r.text for r in pii.pseudonymise(odd.filter("doc_id is not null"), b"k").collect()}
+    assert rows[3] is None and rows[4] == ""
+
+
+#: Texts with two entities that differ in case, in what belongs to the domain, in leading zeros or in script only.
+PAIRS = [
+    "bob@Gmail.com and bob@gmail.com",
+    "x@ab.com and x@a.bcom",
+    "a.b@foo.com and a.b.foocom@example.com",
+    "10.0.0.1 and 10.0.0.01",
+    "token=ABCdef123456 and key=abcdef123456",
+    "Dr Παπαδοπουλος and Mr 李明",
+    "0.0.0.0 and 255.0.255.0",
+    "Mr Ćwikła and Mr Cwikla",
+    "555-123-4567 and 555.123.4567",
+    "2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80:0:1::2ab3",
+    "DE89370400440532013000 and GB82 WEST 1234 5698 7654 32",
+    "my name is Xerxes Okonkwo and Ich heiße Okonkwo",
+    "078-05-1120 and 078-05-1121",
+]
+
+
+@pytest.mark.parametrize("text", PAIRS)
+def test_surrogates_of_like_spellings(text):
+    """Both are found, neither stays, they stay apart, and each has the surrogate that it has in any other text."""
+    new, spans = pii.Surrogates(b"k").replace(text)
+    assert len(spans) == 2 and spans[0][3] != spans[1][3]
+    for a, b, _, s in spans:
+        assert text[a:b] != s and text[a:b] not in new
+        assert not any(x == y for x, y in zip(text[a:b].split(), s.split(), strict=True) if x[0] != "M" and x[0] != "D")
+        alone = pii.Surrogates(b"k").replace(text[max(0, a - 11) : b])[1]
+        assert alone[-1][3] == s
+    assert [k for _, _, k in pii.find(new)] == [k for _, _, k, _ in spans]
+
+
+def test_surrogates_in_time_and_in_every_document(spark):
+    """Thousands of entities in one text; an entity has one surrogate in all documents, whatever stands beside it."""
+    import time
+
+    began = time.process_time()
+    assert len(pii.find(" ".join(f"u{i}@m{i}.com" for i in range(40_000)))) == 40_000
+    assert time.process_time() - began < 10
+    mails = [f"{c}{d}@example.com" for c in "abcdefghij" for d in "xyz"]
+    docs = [(i, "; ".join(np.random.default_rng(i).permutation(mails)[: 3 + i])) for i in range(20)]
+    seen = {}
+    for r in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"), b"k").collect():
+        for e in r.entities:
+            seen.setdefault(docs[r.doc_id][1][e.start : e.end], set()).add(e.surrogate)
+    assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
 
 
 def test_surrogates_of_whole_domains():
@@ -401,11 +601,10 @@ def test_surrogates_of_whole_domains():
     lists = [[f"Miss {n}" for n in names] for names in pii.NAMES.values()]
     lists += [[f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"], ["x.fooorg@example.com", "x@foo.org"]]
     for entities in lists:
-        new, spans = pii.Surrogates().replace("; ".join(entities))
+        new, spans = pii.Surrogates(b"k").replace("; ".join(entities))
         made = [s for _, _, _, s in spans]
         assert len(spans) == len(set(made)) == len(entities) and new == "; ".join(made)
-        if len(entities) > 2:
-            assert made == [pii.Surrogates().replace(e)[0] for e in entities]
+        assert made == [pii.Surrogates(b"k").replace(e)[0] for e in entities] and not any(m == e for m, e in zip(made, entities, strict=True))
 
 
 def test_lm_score(spark, odd, empty):
@@ -428,6 +627,60 @@ def test_lm_score(spark, odd, empty):
     assert hmm.held_out_query(odd).count() == len(ODD) and hmm.held_out_query(empty).collect() == []
 
 
+def test_lm_score_of_whole_texts(spark):
+    """`score` word by word: the trained model's forward probabilities and each word's share of its class; one text has 1,000 words and more."""
+    import math
+
+    rng = np.random.default_rng(21)
+    names = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"] + [f"w{i}" for i in range(900)]
+    weights = 1 / np.arange(1, len(names) + 1)
+    texts = [" ".join(rng.choice(names, n, p=weights / weights.sum())) for n in [3, 40, 1200, 2500] + [30] * 60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(700, None), (701, "never seen")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in hmm.held_out_query(df).collect()}
+    docs = {r.doc_id: (r.text or "").split() for r in df.collect()}
+    trained = {i: w for i, w in docs.items() if crc(i) % 7 != 2}
+    c = Counter(w for ws in trained.values() for w in ws)
+    own = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w))[: hmm.OWN - 1], 1)}
+    model = hmm.train_model(df.fillna("", ["text"]).filter(F.col("doc_id").isin(list(trained))), own)
+    room = Counter()
+    for w in c:
+        if w not in own:
+            room[hmm.hashed_class(w)] += c[w] + 1
+    for i, ws in docs.items():
+        x, total = None, 0.0
+        for w in [*ws, None]:
+            k = hmm.END if w is None else own.get(w) or hmm.hashed_class(w)
+            x = (model.start if x is None else x @ model.move) * model.emit[k]
+            total += math.log10(x.sum()) + (0 if k < hmm.OWN or w is None else math.log10((c[w] + 1) / (room[k] + 1)))
+            x = x / x.sum()
+        assert abs(rows[i].score - total) < 1e-6 * max(1, abs(total)), i
+
+
+def test_expected_counts_of_long_texts():
+    """Against a plain forward-backward pass over each whole text, across the stretches that are computed again."""
+    rng = np.random.default_rng(1)
+    model, n = hmm.Model.random(4), [1000, 3, 0, 70, 33, 32, 31, 500]
+    stops = np.concatenate([[0], np.cumsum(n)])
+    flat = rng.integers(0, hmm.CLASSES, stops[-1]).astype(np.int32)
+    want = np.zeros((hmm.CLASSES + 5, 4))
+    for a, b in zip(stops[:-1], stops[1:], strict=True):
+        seq, alphas, scales = flat[a:b], [], []
+        for t, k in enumerate(seq):
+            x = (model.start if t == 0 else alphas[-1] @ model.move) * model.emit[k]
+            scales.append(x.sum())
+            alphas.append(x / x.sum())
+        beta = np.ones(4)
+        for t in range(len(seq) - 1, -1, -1):
+            want[seq[t]] += alphas[t] * beta
+            if t == 0:
+                want[-1] += alphas[t] * beta
+            else:
+                out = model.emit[seq[t]] * beta / scales[t]
+                want[hmm.CLASSES : hmm.CLASSES + 4] += model.move * np.outer(alphas[t - 1], out)
+                beta = model.move @ out
+    assert np.allclose(hmm.expected_counts(model, flat, stops), want)
+
+
 def test_hmm_recursions_by_enumeration():
     from itertools import product
 
