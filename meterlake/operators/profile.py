@@ -48,7 +48,7 @@ def with_checkpoint(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def late_after_final(samples: DataFrame, ledger: DataFrame) -> DataFrame:
     """Samples of requests that are already finalized."""
-    return samples.join(ledger.filter("is_finalized").select("agent_id", "session_id", F.col("request_id").alias("request_key")), ["agent_id", "session_id", "request_key"], "left_semi")
+    return samples.join(ledger.filter("is_finalized").select("agent_id", "session_id", "request_key"), ["agent_id", "session_id", "request_key"], "left_semi")
 
 
 def classify_finals(finals: DataFrame, ledger: DataFrame, names: bool) -> DataFrame:
@@ -129,12 +129,35 @@ def lines_containing(rows: DataFrame, text: str, value: str = "value", by: str =
     return rows.filter(F.contains(F.col(value), F.lit(text))).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def transcript_profile(parsed: DataFrame) -> DataFrame:
+    """One row over parsed transcripts: files and events with usage, which fields occur, and how messages were emitted again."""
+    good = parsed.filter("error is null")
+    counters = [F.col(f"usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")]
+    one = good.agg(
+        F.countDistinct("file_hash").alias("files_with_usage"),
+        F.count(F.lit(1)).alias("usage_events"),
+        F.coalesce(F.bool_or(F.col("usage.cache_read_input_tokens").isNotNull()), F.lit(False)).alias("has_cache_read"),
+        F.coalesce(F.bool_or(F.col("usage.cache_creation_input_tokens").isNotNull()), F.lit(False)).alias("has_cache_creation"),
+        F.coalesce(F.bool_or(F.col("model").isNotNull()), F.lit(False)).alias("has_model"),
+        F.countDistinct("message_id").alias("message_ids"),
+    )
+    again = reemit_groups(good.filter("message_id is not null").select("message_id", "finality", *counters), "message_id", ["finality", "input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"])
+    # One row each: aggregates without keys.
+    return one.join(F.broadcast(again.agg(F.count_if(F.col("kind") == "identical_reemit").alias("identical_reemit_groups"), F.count_if(F.col("kind") == "two_phase").alias("two_phase_groups"))))
+
+
 def health(polls: DataFrame) -> DataFrame:
-    """From one row a poll (source, poll, ok, degraded, consumed): what a source's state is now."""
+    """From one row a poll (source, poll, tracked, available, failures, unknown_status, consumed, wall_ms): how a source stands.
+
+    A poll is good if some of its sources can be read, none failed and no row has an unknown status.
+    """
+    degraded = (F.col("failures") > 0) | (F.col("unknown_status") > 0)
+    good = (F.col("available") > 0) & ~degraded
     return polls.groupBy("source").agg(
-        F.max_by("ok", "poll").alias("available"),
-        F.max_by(~F.col("ok") | F.col("degraded"), "poll").alias("degraded"),
-        F.max(F.when(F.col("ok"), F.col("poll"))).alias("last_successful_poll"),
-        F.count_if(~F.col("ok")).alias("failures"),
+        F.max_by("tracked", "poll").alias("tracked_sources"),
+        F.max_by(F.col("available") > 0, "poll").alias("source_available"),
+        F.max_by(degraded, "poll").alias("source_degraded"),
+        F.max_by(F.when(F.col("failures") > 0, "SourceUnavailable").otherwise("None"), "poll").alias("last_error_kind"),
+        F.max(F.when(good, F.col("wall_ms"))).alias("last_successful_poll_ms"),
         F.sum("consumed").alias("consumed"),
     )

@@ -1,8 +1,8 @@
 """Trailing-window throughput, input metrics, peaks and global metrics.
 
-`ticks` are the instants of a query: (tick, collector_run_id, now_ns). Reading has no side effects: peaks are running
-maxima over the ticks. Live rows meet their ticks through one-second buckets, an equi-join that copies a row to the few
-ticks it can count for, never to all of them.
+`ticks` are the instants of a query: (tick, tick_seq, collector_run_id, now_ns). Reading has no side effects: peaks are running
+maxima over the ticks. Live rows meet their ticks through buckets of five seconds, an equi-join that copies a tick to the two
+buckets it can see, never to all rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from meterlake.functions.usage import input_metric, interval_metric
 
 SECOND = 1_000_000_000
 KEPT = 5 * SECOND
+#: Numbers of the order of observation that one task puts in order for an agent.
+SPAN = 1 << 18
 
 
 def live_eligible() -> Column:
@@ -32,46 +34,47 @@ def event_rates(deltas: DataFrame) -> DataFrame:
     return rows.withColumn("avg_5s", F.col("out_5s") / elapsed).drop("_oldest")
 
 
-def retained(deltas: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Rows that an agent's buffer holds at each tick: of the run of the last row pushed by then, at most 5 s before it."""
-    pushed = deltas.select("seq", "collector_run_id", "agent_id", "observed_monotonic_ns", "delta_output", live_eligible().alias("eligible"))
-    runs = ticks.select("tick", "tick_seq", "collector_run_id", "now_ns")
-    # The last row pushed before a tick, by a merge of both in order of seq.
-    agents = pushed.select("agent_id").distinct()
-    marks = runs.join(agents).select("agent_id", F.col("tick_seq").alias("seq"), "tick", "now_ns", F.col("collector_run_id").alias("tick_run"), F.lit(None).cast("struct<ns:bigint,run:string>").alias("push"))
-    both = pushed.select("agent_id", "seq", F.lit(None).cast("long").alias("tick"), F.lit(None).cast("long").alias("now_ns"), F.lit(None).cast("string").alias("tick_run"), F.struct(F.col("observed_monotonic_ns").alias("ns"), F.col("collector_run_id").alias("run")).alias("push")).unionByName(marks)
-    order = Window.partitionBy("agent_id").orderBy("seq", F.col("tick").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("last", F.last("push", ignorenulls=True).over(order)).filter("tick is not null and last is not null")
-    last = last.select("agent_id", "tick", "now_ns", F.col("seq").alias("tick_seq"), "tick_run", F.col("last.ns").alias("last_ns"), F.col("last.run").alias("run"))
-    bucket = F.explode(F.sequence(F.floor((F.col("last_ns") - KEPT) / KEPT), F.floor(F.col("last_ns") / KEPT)))
-    wanted = last.select("*", bucket.alias("bucket"))
-    rows = pushed.withColumnRenamed("collector_run_id", "run").withColumn("bucket", F.floor(F.col("observed_monotonic_ns") / KEPT))
-    met = wanted.join(rows, ["agent_id", "run", "bucket"])
-    return met.filter((F.col("seq") <= F.col("tick_seq")) & (F.col("last_ns") - F.col("observed_monotonic_ns") <= KEPT))
-
-
-def agent_tps(deltas: DataFrame, measured: DataFrame, ticks: DataFrame) -> DataFrame:
-    """For each agent and tick: out_tps, avg_5s_out_tps, peak_out_tps, in_tps with its kind, and the last interval.
-
-    deltas: accepted live deltas; measured: deltas and finals in one table with (seq, agent_id, collector_run_id,
-    observed_monotonic_ns, context_input, timing); ticks: (tick, tick_seq, collector_run_id, now_ns), tick_seq being the
-    last seq that the tick sees.
+def agent_tps(events: DataFrame, seen: DataFrame, ticks: DataFrame) -> DataFrame:
+    """For each tick and agent seen by then: out_tps, avg_5s_out_tps, peak_out_tps, in_tps with its kind, the last interval.
+
+    events: live deltas and finals as reconcile.events() gives them; seen: (agent_id, seq) of each agent's first sample;
+    ticks: (tick, tick_seq, collector_run_id, now_ns), tick_seq being the last seq that the tick sees.
+
+    A pushed delta drops from an agent's buffer what is of another run or more than KEPT older than itself. What is left at
+    a tick is therefore what was pushed since the run last changed and is at most KEPT older than the latest clock value
+    pushed since then; that holds as long as the clock of a run does not fall back by more than KEPT.
     """
-    ticks = ticks.select(F.col("tick").cast("long").alias("tick"), F.col("tick_seq").cast("long").alias("tick_seq"), "collector_run_id", F.col("now_ns").cast("long").alias("now_ns"))
-    held = retained(deltas, ticks).filter((F.col("run") == F.col("tick_run")) & F.col("eligible"))
-    age = F.greatest(F.col("now_ns") - F.col("observed_monotonic_ns"), F.lit(0).cast("long"))
-    out = held.groupBy("agent_id", "tick", "now_ns").agg(F.sum(F.when(age <= SECOND, F.col("delta_output"))).alias("_1s"), F.sum("delta_output").alias("_5s"), F.min("observed_monotonic_ns").alias("_oldest"))
+    rows = events.filter("not rejected")
+    live = ~F.col("final")
+    metric = input_metric(F.col("context_input"))
+    interval = interval_metric(F.col("output"), F.col("timing.measurement_interval_ms"))
+    run, ns = F.col("collector_run_id").alias("run"), F.col("observed_monotonic_ns").alias("ns")
+    facts = rows.select(
+        "agent_id",
+        "seq",
+        F.lit(0).alias("side"),
+        F.when(live, F.struct(run, ns)).alias("push"),
+        F.when(live & live_eligible(), F.col("output")).alias("out"),
+        F.when(metric["value"].isNotNull(), F.struct(run, ns, metric.alias("metric"))).alias("m"),
+        F.when(live & (F.col("temporal_accuracy") == "IntervalExact") & (F.col("output") > 0), interval).alias("i"),
+    )
+    # One row for each tick and agent: the size of the result.
+    marks = ticks.select(F.col("tick").cast("long").alias("tick"), F.col("tick_seq").cast("long").alias("tick_seq"), F.col("collector_run_id").alias("tick_run"), F.col("now_ns").cast("long").alias("now_ns"))
+    marks = marks.join(seen.select("agent_id", F.col("seq").alias("_first")), F.col("_first") <= F.col("tick_seq"))
+    marks = marks.select("agent_id", F.col("tick_seq").alias("seq"), F.lit(1).alias("side"), "tick", "tick_run", "now_ns")
+    rows = _segments(facts.unionByName(marks, allowMissingColumns=True))
+
+    at = rows.filter("side = 1")
+    pushed = rows.filter("out is not null").select("agent_id", "segment", F.col("push.ns").alias("ns"), "seq", "out", F.floor(F.col("push.ns") / KEPT).alias("bucket"))
+    wanted = at.filter("run = tick_run").select("agent_id", "segment", F.col("seq").alias("tick_seq"), "tick", "now_ns", "latest", F.explode(F.sequence(F.floor((F.col("latest") - KEPT) / KEPT), F.floor(F.col("latest") / KEPT))).alias("bucket"))
+    held = wanted.join(pushed, ["agent_id", "segment", "bucket"]).filter((F.col("seq") <= F.col("tick_seq")) & (F.col("latest") - F.col("ns") <= KEPT))
+    age = F.greatest(F.col("now_ns") - F.col("ns"), F.lit(0).cast("long"))
+    out = held.groupBy("agent_id", "tick", "now_ns").agg(F.sum(F.when(age <= SECOND, F.col("out"))).alias("_1s"), F.sum("out").alias("_5s"), F.min("ns").alias("_oldest"))
     elapsed = F.greatest(F.greatest(F.col("now_ns") - F.col("_oldest"), F.lit(0)) / float(SECOND), F.lit(1.0))
     out = out.select("agent_id", "tick", F.coalesce("_1s", F.lit(0)).cast("double").alias("out_tps"), (F.col("_5s") / elapsed).alias("avg_5s_out_tps"))
 
-    agents = measured.select("agent_id").distinct().join(ticks)
-    rows = agents.join(out, ["agent_id", "tick"], "left").fillna(0.0, ["out_tps", "avg_5s_out_tps"])
-    metric = input_metric(F.col("context_input"))
-    known = measured.select("agent_id", "seq", F.struct(F.col("collector_run_id").alias("run"), F.col("observed_monotonic_ns").alias("ns"), metric.alias("metric")).alias("m")).filter("m.metric.value is not null")
-    rows = _as_of(rows, known, "m")
-    spans = deltas.filter((F.col("temporal_accuracy") == "IntervalExact") & (F.col("delta_output") > 0))
-    rows = _as_of(rows, spans.select("agent_id", "seq", interval_metric(F.col("delta_output"), F.col("timing.measurement_interval_ms")).alias("i")), "i")
-    fresh = (F.col("m.run") == F.col("collector_run_id")) & (F.greatest(F.col("now_ns") - F.col("m.ns"), F.lit(0)) <= SECOND)
+    rows = at.select("agent_id", "tick", "tick_run", "now_ns", "m", "i").join(out, ["agent_id", "tick"], "left").fillna(0.0, ["out_tps", "avg_5s_out_tps"])
+    fresh = (F.col("m.run") == F.col("tick_run")) & (F.greatest(F.col("now_ns") - F.col("m.ns"), F.lit(0)) <= SECOND)
     peak = Window.partitionBy("agent_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         "agent_id",
@@ -87,15 +90,38 @@ def agent_tps(deltas: DataFrame, measured: DataFrame, ticks: DataFrame) -> DataF
     )
 
 
-def _as_of(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """Adds each agent's last fact by the tick: both sides merged in one window, without a range join."""
-    empty = F.lit(None).cast(facts.schema[name].dataType)
-    columns = rows.columns
-    left = rows.select("agent_id", F.col("tick_seq").alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_row"), empty.alias(name))
-    right = facts.select("agent_id", F.col("seq").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), name)
-    order = Window.partitionBy("agent_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_last", F.last(name, ignorenulls=True).over(order)).filter("_side = 1")
-    return both.select(*[F.col(f"_row.{c}").alias(c) for c in columns], F.col("_last").alias(name))
+def _segments(rows: DataFrame) -> DataFrame:
+    """Adds what each row of an agent has before it: run, segment and latest clock of its buffer, last m, last i.
+
+    A segment is what was pushed since the run last changed, named by the seq of its first row. Rows are put in order
+    within spans of SPAN numbers of an agent, so that no agent is one task; a span takes what the spans before it end with
+    from a table of one row a span.
+    """
+    rows = rows.withColumn("span", F.expr(f"seq div {SPAN}"))
+    span = Window.partitionBy("agent_id", "span").orderBy("seq", "side")
+    upto, before = span.rowsBetween(Window.unboundedPreceding, 0), span.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("agent_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
+
+    ends = rows.groupBy("agent_id", "span").agg(last("push"), last("m"), last("i"))
+    ends = ends.select("agent_id", "span", *[F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_before") for c in ("push", "m", "i")])
+    rows = rows.join(ends, ["agent_id", "span"])
+    own = F.last("push", ignorenulls=True)
+    changed = F.col("push").isNotNull() & ~F.col("push.run").eqNullSafe(F.coalesce(own.over(before), F.col("push_before"))["run"])
+    rows = rows.withColumns({"run": F.coalesce(own.over(upto), F.col("push_before"))["run"], "m": F.coalesce(F.last("m", ignorenulls=True).over(upto), F.col("m_before")), "i": F.coalesce(F.last("i", ignorenulls=True).over(upto), F.col("i_before")), "change": F.when(changed, F.col("seq"))})
+    # Segments grow, so the largest (segment, clock) is the latest clock of the last segment; null: the one that goes on.
+    rows = rows.withColumn("segment", F.max("change").over(upto)).withColumn("top", F.when(F.col("push").isNotNull(), F.struct("segment", F.col("push.ns").alias("ns"))))
+    tops = rows.groupBy("agent_id", "span").agg(F.max("top").alias("top"))
+    by_span = Window.partitionBy("agent_id").orderBy("span")
+    tops = tops.withColumn("s", F.last("top.segment", ignorenulls=True).over(by_span.rowsBetween(Window.unboundedPreceding, 0)))
+    tops = tops.withColumn("clock", F.max("top.ns").over(Window.partitionBy("agent_id", "s").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)))
+    tops = tops.select("agent_id", "span", F.lag("s").over(by_span).alias("segment_before"), F.lag("clock").over(by_span).alias("clock_before"))
+    rows = rows.join(tops, ["agent_id", "span"])
+    here = F.max("top").over(upto)
+    clock = F.when(here["segment"].isNotNull(), here["ns"]).otherwise(F.greatest(here["ns"], F.col("clock_before")))
+    return rows.withColumn("latest", clock).withColumn("segment", F.coalesce("segment", "segment_before"))
 
 
 def global_metrics(tps: DataFrame, status: DataFrame | None = None) -> DataFrame:
@@ -123,3 +149,8 @@ def agent_status(samples: DataFrame) -> DataFrame:
     """The last row of each agent."""
     row = F.struct("agent_id", "agent_name", "model", "provider", "session_id", "source_adapter_id", "event_kind", "wall_timestamp_ms", "observed_monotonic_ns")
     return samples.groupBy("agent_id").agg(F.max_by(row, "seq").alias("r")).select("r.*")
+
+
+def status_with_rates(status: DataFrame, tps: DataFrame) -> DataFrame:
+    """Agents with their rates at one instant of query, null where there are none."""
+    return status.join(tps.drop("tick"), "agent_id", "left")

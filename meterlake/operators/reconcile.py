@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.schema import COUNTERS
 from meterlake.functions.usage import derived_id, is_weak, standing
 from meterlake.operators.counters import REQUEST
 
-CURSOR = "struct<source:string,standing:struct<token:int,temporal:int,priority:int>," + ",".join(f"{c}:bigint" for c in COUNTERS) + ">"
-
 
 def dedup_first(deltas: DataFrame) -> DataFrame:
     """The first delta of each (source, stable id); a repeat counts as seen whatever became of the first."""
@@ -23,46 +24,44 @@ def elect_sources(deltas: DataFrame) -> DataFrame:
 
     The first source is active. A strictly better one takes over only if it can prove, for each counter that was
     contributed to, a cumulative position at least as high; it then adds what lies beyond. All others are suppressed.
-    The order matters, so a request's deltas are folded in order of seq, in one aggregate expression; requests with a
-    single source, which are nearly all, need no fold and are never gathered. Low-confidence keys bypass the election.
+    The order matters, so the deltas of contested requests, sorted by (request, seq), run through one fold that holds the
+    active source and six sums; requests with a single source, which are nearly all, and low-confidence keys need none.
     """
-    weak = deltas.filter(is_weak(F.col("correlation_confidence")))
-    sure = deltas.filter(~is_weak(F.col("correlation_confidence")))
+    rows = deltas.repartition(*[F.col(k) for k in REQUEST])
+    sure = F.when(~is_weak(F.col("correlation_confidence")), F.col("source_adapter_id"))
     request = Window.partitionBy(*REQUEST)
-    sure = sure.withColumn("_many", F.min("source_adapter_id").over(request) != F.max("source_adapter_id").over(request))
-    single = sure.filter(~F.col("_many")).drop("_many")
-    many = sure.filter("_many").drop("_many")
-    columns = deltas.columns
-    fields = [F.col("seq").alias("_order"), F.col("source_adapter_id").alias("_source"), standing().alias("_standing")]
-    fields += [F.col(f"{p}{c}").alias(f"_{p}{c}") for p in ("delta_", "cum_") for c in COUNTERS]
-    gathered = many.groupBy(*REQUEST).agg(F.sort_array(F.collect_list(F.struct(*fields, F.struct(*[F.col(c) for c in columns]).alias("_row")))).alias("_all"))
-
-    def changed(state: Column, x: Column) -> Column:
-        active = state["active"]
-        none = active.isNull()
-        own = active["source"] == x["_source"]
-        better = x["_standing"] > active["standing"]
-        aligned = F.lit(True)
-        for c in COUNTERS:
-            aligned = aligned & ((active[c] <= 0) | F.coalesce(x[f"_cum_{c}"] >= active[c], F.lit(False)))
-        takes = ~none & ~own & better & aligned
-        counts = none | own | takes
-        added = {c: F.when(takes, F.coalesce(x[f"_cum_{c}"] - active[c], F.lit(0))).otherwise(x[f"_delta_{c}"]) for c in COUNTERS}
-        cursor = F.struct(
-            F.when(none | takes, x["_source"]).otherwise(active["source"]).alias("source"),
-            F.when(none | takes, x["_standing"]).otherwise(active["standing"]).alias("standing"),
-            *[(F.coalesce(active[c], F.lit(0).cast("long")) + F.when(counts, added[c]).otherwise(0)).cast("long").alias(c) for c in COUNTERS],
-        )
-        emitted = F.struct(x["_row"].alias("row"), *[added[c].cast("long").alias(c) for c in COUNTERS])
-        return F.struct(cursor.cast(CURSOR).alias("active"), F.when(counts, F.array_append(state["out"], emitted)).otherwise(state["out"]).alias("out"))
-
-    row_type = F.struct(*[F.col(c) for c in columns])
-    row_ddl = deltas.select(row_type.alias("r")).schema["r"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(CURSOR).alias("active"), F.array().cast(f"array<struct<row:{row_ddl},{','.join(f'{c}:bigint' for c in COUNTERS)}>>").alias("out"))
-    folded = gathered.select(F.inline(F.aggregate("_all", start, changed, lambda s: s["out"])))
-    new = {f"delta_{c}": F.col(c) for c in COUNTERS} | {"delta_total": F.col("context_input") + F.col("output")}
-    folded = folded.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in columns])
-    return weak.unionByName(single).unionByName(folded)
+    rows = rows.withColumn("_contested", sure.isNotNull() & F.coalesce(F.min(sure).over(request) != F.max(sure).over(request), F.lit(False)))
+    contested = rows.filter("_contested").drop("_contested")
+    rank = standing()
+    contested = contested.withColumn("_standing", ((rank["token"] * 8 + rank["temporal"]).cast("long") * (1 << 32)) + rank["priority"] + (1 << 31))
+    schema = contested.schema
+    sums = [f"delta_{c}" for c in COUNTERS]
+    names, keys = [f.name for f in schema], [*REQUEST, "source_adapter_id", "_standing", *sums, *[f"cum_{c}" for c in COUNTERS]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request = active = standing_ = held = None
+        for batch in batches:
+            kept, new = [], {c: [] for c in sums}
+            columns = zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True)
+            for n, (agent, session, key, source, rank_, *values) in enumerate(columns):
+                delta, cum = values[: len(COUNTERS)], values[len(COUNTERS) :]
+                if request != (agent, session, key):
+                    request, active, standing_, held = (agent, session, key), source, rank_, [0] * len(COUNTERS)
+                elif source != active:
+                    if rank_ <= standing_ or any(h > 0 and (x is None or x < h) for h, x in zip(held, cum, strict=True)):
+                        continue
+                    delta = [0 if x is None else x - h for h, x in zip(held, cum, strict=True)]
+                    active, standing_ = source, rank_
+                held = [h + d for h, d in zip(held, delta, strict=True)]
+                kept.append(n)
+                for c, d in zip(sums, delta, strict=True):
+                    new[c].append(d)
+            out = batch.take(pa.array(kept, pa.int64()))
+            new["delta_total"] = [a + b for a, b in zip(new["delta_context_input"], new["delta_output"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else out.column(i) for i, f in enumerate(out.schema)], schema=out.schema)
+
+    settled = contested.sortWithinPartitions(*REQUEST, "seq").mapInArrow(fold, schema).drop("_standing")
+    return rows.filter(~F.col("_contested")).drop("_contested").unionByName(settled)
 
 
 def events(deltas: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -156,5 +155,10 @@ def total_output(ledger: DataFrame, agent_id: str | None = None) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("canonical_output"), F.lit(0)).cast("long").alias("total_output_tokens"))
 
 
+def ledger_of(ledger: DataFrame, agent_id: str, session_id: str, request_key: str) -> DataFrame:
+    """The ledger of one request: no row or one."""
+    return ledger.filter((F.col("agent_id") == agent_id) & (F.col("session_id") == session_id) & (F.col("request_key") == request_key))
+
+
 def agent_totals(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("agent_id").agg(F.coalesce(F.sum("canonical_output"), F.lit(0)).cast("long").alias("total_output_tokens"))

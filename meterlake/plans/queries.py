@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.schema import COUNTERS
-from meterlake.functions.usage import hash16, input_metric, interval_metric, path_hash, prefixed, prepared
+from meterlake.functions.usage import hash16, input_metric, path_hash, prefixed, prepared
 from meterlake.operators import counters, profile, rates, reconcile
 from meterlake.plans import fixture
 from meterlake.plans.engine import meter
@@ -64,21 +64,51 @@ d5 AS (SELECT *, {_all('max(CASE WHEN NOT late THEN {c} END) OVER w AS last_{c}'
 d6 AS (SELECT *, {_all('CAST(CASE WHEN native THEN {c} WHEN late THEN 0 WHEN last_output IS NULL THEN {c} ELSE greatest({c} - last_{c}, 0) END AS BIGINT) AS delta_{c}')},
   lag(observed_monotonic_ns) OVER (PARTITION BY {REQUEST}, source_adapter_id, collector_run_id, late ORDER BY seq) AS last_ns FROM d5),
 d7 AS (SELECT *, CASE WHEN late THEN NULL WHEN observed_monotonic_ns < last_ns THEN 'Stale' WHEN observed_monotonic_ns - last_ns > 3000000000 THEN 'CatchUp' ELSE 'Normal' END AS gap_state FROM d6),
-live AS (SELECT * FROM d7 WHERE NOT late AND greatest({_all('delta_{c}')}) > 0),
+d8 AS (SELECT *, CASE WHEN gap_state = 'Stale' THEN 'Unavailable' WHEN gap_state = 'CatchUp' AND temporal_accuracy = 'StreamExact' THEN 'IntervalExact' ELSE temporal_accuracy END AS lowered FROM d7),
+live AS (SELECT * FROM d8 WHERE NOT late AND greatest({_all('delta_{c}')}) > 0),
 nth AS (SELECT *, row_number() OVER (PARTITION BY source_adapter_id, stable_ingestion_id ORDER BY seq) AS n FROM live),
 firsts AS (SELECT * EXCLUDE (n) FROM nth WHERE n = 1)"""
 )
-EVENTS = (
-    DELTAS
-    + f""",
-e1 AS (SELECT seq, {REQUEST}, source_adapter_id, FALSE AS final, {_all('delta_{c} AS {c}')} FROM firsts
-  UNION ALL SELECT seq, {REQUEST}, source_adapter_id, TRUE, {_all('{c}')} FROM prep WHERE event_kind = 'Final'),
+_CARRIED = "collector_run_id, observed_monotonic_ns, source_priority"
+
+
+def _events_sql(deltas: str, table: str) -> str:
+    return (
+        deltas
+        + f""",
+e1 AS (SELECT seq, {REQUEST}, source_adapter_id, FALSE AS final, {_CARRIED}, gap_state, lowered AS temporal_accuracy, {_all('delta_{c} AS {c}')} FROM {table}
+  UNION ALL SELECT seq, {REQUEST}, source_adapter_id, TRUE, {_CARRIED}, NULL, temporal_accuracy, {_all('{c}')} FROM prep WHERE event_kind = 'Final'),
 e2 AS (SELECT *, NOT final AND coalesce(bool_or(final) OVER w, FALSE) AS rejected FROM e1 WINDOW w AS (PARTITION BY {REQUEST} ORDER BY seq {BEFORE})),
 e3 AS (SELECT *, {_all('coalesce(sum(CASE WHEN NOT final AND NOT rejected THEN {c} END) OVER w, 0) AS live_{c}')},
   {_all('last_value(CASE WHEN final THEN {c} END IGNORE NULLS) OVER w AS prev_{c}')},
   last_value(CASE WHEN NOT rejected THEN source_adapter_id END IGNORE NULLS) OVER w AS prev_source
   FROM e2 WINDOW w AS (PARTITION BY {REQUEST} ORDER BY seq {BEFORE}))"""
+    )
+
+
+EVENTS = _events_sql(DELTAS, "firsts")
+_RAW = dict(zip(COUNTERS, ("input", "input", "output", "cache_read", "cache_write", "reasoning"), strict=True))
+_SAME_REQUEST = " AND ".join(f"m.{k} = f.{k}" for k in REQUEST.split(", "))
+_KEPT = f"seq, {REQUEST}, source_adapter_id, event_kind, {_CARRIED}, gap_state, lowered"
+#: The election, row by row in a recursive query: `held` is what the active source has contributed so far.
+ELECTED = (
+    DELTAS.replace("WITH", "WITH RECURSIVE", 1)
+    + f""",
+sure AS (SELECT *, CASE WHEN correlation_confidence IN ('Strong', 'Exact') THEN source_adapter_id END AS s FROM firsts),
+spread AS (SELECT *, s IS NOT NULL AND coalesce(min(s) OVER w <> max(s) OVER w, FALSE) AS contested FROM sure WINDOW w AS (PARTITION BY {REQUEST})),
+many AS MATERIALIZED (SELECT *, CASE lowered WHEN 'StreamExact' THEN 4 WHEN 'IntervalExact' THEN 3 WHEN 'TurnExact' THEN 2 WHEN 'Estimated' THEN 1 ELSE 0 END * 1000 + source_priority AS standing,
+  row_number() OVER (PARTITION BY {REQUEST} ORDER BY seq) AS nth, {', '.join(f"CASE WHEN event_kind <> 'Delta' AND raw_{r}_tokens IS NOT NULL THEN {c} END AS cum_{c}" for c, r in _RAW.items())} FROM spread WHERE contested),
+fold AS (SELECT {REQUEST}, nth, source_adapter_id AS active, standing AS rank, TRUE AS counts, {_all('delta_{c} AS held_{c}')}, {_all('delta_{c} AS new_{c}')} FROM many WHERE nth = 1
+  UNION ALL
+  SELECT {REQUEST}, nth, CASE WHEN takes THEN source_adapter_id ELSE active END, CASE WHEN takes THEN standing ELSE rank END, own OR takes,
+    {_all('held_{c} + CASE WHEN takes THEN coalesce(cum_{c} - held_{c}, 0) WHEN own THEN delta_{c} ELSE 0 END')}, {_all('CASE WHEN takes THEN coalesce(cum_{c} - held_{c}, 0) ELSE delta_{c} END')}
+  FROM (SELECT m.*, f.active, f.rank, {_all('f.held_{c}')}, m.source_adapter_id = f.active AS own,
+    m.source_adapter_id <> f.active AND m.standing > f.rank AND {_all('(f.held_{c} <= 0 OR coalesce(m.cum_{c} >= f.held_{c}, FALSE))', ' AND ')} AS takes
+    FROM fold f JOIN many m ON {_SAME_REQUEST} AND m.nth = f.nth + 1)),
+elected AS (SELECT {_KEPT}, {_all('delta_{c}')} FROM spread WHERE NOT contested
+  UNION ALL SELECT {_KEPT}, {_all('CAST(new_{c} AS BIGINT)')} FROM many JOIN fold USING ({REQUEST}, nth) WHERE counts)"""
 )
+ENGINE = _events_sql(ELECTED, "elected")
 
 
 def _live(spark, sf_dir):
@@ -132,9 +162,8 @@ def dedup_first(spark, sf_dir):
     return reconcile.dedup_first(_live(spark, sf_dir)).select("seq", "source_adapter_id", "stable_ingestion_id", *[f"delta_{c}" for c in COUNTERS])
 
 
-@query()
+@query(ELECTED + f" SELECT seq, {REQUEST}, source_adapter_id, {_all('delta_{c}')}, delta_context_input + delta_output AS delta_total FROM elected")
 def handoff(spark, sf_dir):
-    """An order-dependent fold; tests compare it with a sequential model."""
     return reconcile.elect_sources(reconcile.dedup_first(_live(spark, sf_dir))).select(*EVENT_KEYS, *[f"delta_{c}" for c in COUNTERS], "delta_total")
 
 
@@ -157,14 +186,20 @@ def corrections(spark, sf_dir):
     return reconcile.corrections(_events(spark, sf_dir)).select("seq", "agent_id", "session_id", "request_key", *[f"{c}_correction" for c in COUNTERS], "old_source", "new_authoritative_source", "old_total", "new_total")
 
 
-LEDGER = (
-    EVENTS
-    + f""",
+def _ledger_sql(events: str) -> str:
+    return (
+        events
+        + f""",
 l1 AS (SELECT {REQUEST}, {_all('CAST(coalesce(sum(CASE WHEN NOT final THEN {c} END), 0) AS BIGINT) AS live_contributed_{c}')},
-  {_all('max_by({c}, seq) FILTER (final) AS authoritative_final_{c}')}, bool_or(final) AS is_finalized, max_by(source_adapter_id, seq) AS winning_source
+  {_all('max_by({c}, seq) FILTER (final) AS authoritative_final_{c}')}, bool_or(final) AS is_finalized, max_by(source_adapter_id, seq) AS winning_source,
+  coalesce(max_by(source_priority, seq) FILTER (NOT final), min_by(source_priority, seq)) AS active_live_source_priority,
+  coalesce(max_by(temporal_accuracy, seq) FILTER (NOT final), min_by(temporal_accuracy, seq)) AS active_live_temporal_accuracy
   FROM e3 WHERE NOT rejected GROUP BY {REQUEST}),
 ledger AS (SELECT *, {_all('coalesce(authoritative_final_{c}, live_contributed_{c}) AS canonical_{c}')} FROM l1)"""
-)
+    )
+
+
+LEDGER = _ledger_sql(EVENTS)
 
 
 @query(LEDGER + f" SELECT {REQUEST}, {_all('canonical_{c}')}, {_all('live_contributed_{c}')}, {_all('authoritative_final_{c}')}, is_finalized, winning_source FROM ledger")
@@ -183,12 +218,29 @@ def total_output(spark, sf_dir):
     return reconcile.total_output(reconcile.ledgers(_events(spark, sf_dir)))
 
 
-@query()
+@query(
+    _ledger_sql(ENGINE)
+    + f""" SELECT {REQUEST}, 'm1' AS model, 'p1' AS provider, {_all('canonical_{c}')}, {_all('live_contributed_{c}')}, {_all('authoritative_final_{c}')}, winning_source,
+  active_live_source_priority, 'Exact' AS active_live_token_accuracy, active_live_temporal_accuracy, is_finalized, 1 AS normalization_version FROM ledger"""
+)
 def engine_ledger(spark, sf_dir):
     """The whole engine, election included."""
     return meter(fixture.samples(spark, sf_dir)).ledgers.drop("last_reconciled_at_ms")
 
 
+@query(_ledger_sql(ENGINE) + f" SELECT {REQUEST}, canonical_output FROM ledger WHERE agent_id = 'agent_1' AND session_id = 's1' AND request_key = 'q2'")
+def ledger_lookup(spark, sf_dir):
+    return meter(fixture.samples(spark, sf_dir)).ledger_of("agent_1", "s1", "q2").select("agent_id", "session_id", "request_key", "canonical_output")
+
+
+@query(ENGINE + f", done AS (SELECT DISTINCT {REQUEST} FROM e3 WHERE final) SELECT p.seq, p.agent_id, p.session_id, p.request_key FROM prep p SEMI JOIN done USING ({REQUEST})")
+def late_after_final(spark, sf_dir):
+    """Samples of requests that have a final, against the engine's own ledgers."""
+    rows = prepared(fixture.samples(spark, sf_dir))
+    ledgers = meter(fixture.samples(spark, sf_dir)).ledgers
+    return profile.late_after_final(rows, ledgers).select("seq", "agent_id", "session_id", "request_key")
+
+
 RATES = (
     DELTAS
     + """,
@@ -210,28 +262,60 @@ def out_tps_5s_avg(spark, sf_dir):
     return rates.event_rates(reconcile.dedup_first(_live(spark, sf_dir))).select("seq", "agent_id", "avg_5s")
 
 
-@query(RATES + " SELECT agent_id, CAST(max(out_1s) AS DOUBLE) AS peak_out_tps FROM r2 GROUP BY agent_id")
-def agent_peak(spark, sf_dir):
-    rows = rates.event_rates(reconcile.dedup_first(_live(spark, sf_dir)))
-    return rows.groupBy("agent_id").agg(F.max("out_1s").cast("double").alias("peak_out_tps"))
-
-
 @query(DELTAS + " SELECT seq, CASE WHEN seq % 3 = 0 THEN 'EffectiveMeasured' ELSE 'Unavailable' END AS kind, CASE WHEN seq % 3 = 0 THEN CAST(delta_context_input AS DOUBLE) / 0.4 END AS in_tps FROM firsts")
 def in_tps(spark, sf_dir):
     rows = reconcile.dedup_first(_live(spark, sf_dir)).withColumn("m", input_metric(F.col("delta_context_input")))
     return rows.select("seq", F.col("m.kind").alias("kind"), F.col("m.value").alias("in_tps"))
 
 
+#: An instant of query after each 40 samples; a push dies with the next one of another run or one more than 5 s later.
+TICKS = (
+    ENGINE
+    + """,
+ticks AS (SELECT CAST(seq / 40 AS BIGINT) AS tick, seq AS tick_seq, collector_run_id AS tick_run, observed_monotonic_ns AS now_ns FROM prep WHERE seq % 40 = 0),
+first AS (SELECT agent_id, min(seq) AS first FROM prep GROUP BY agent_id),
+instant AS (SELECT agent_id, tick, tick_seq, tick_run, now_ns FROM ticks JOIN first ON first <= tick_seq),
+good AS (SELECT * FROM e3 WHERE NOT rejected),
+push AS (SELECT agent_id, seq, collector_run_id AS run, observed_monotonic_ns AS ns, output, temporal_accuracy = 'StreamExact' AND gap_state = 'Normal' AS eligible FROM good WHERE NOT final),
+death AS (SELECT p.agent_id, p.seq, min(q.seq) AS death FROM push p JOIN push q ON q.agent_id = p.agent_id AND q.seq > p.seq AND (q.run <> p.run OR q.ns - p.ns > 5000000000) GROUP BY p.agent_id, p.seq),
+alive AS (SELECT a.agent_id, a.tick, a.now_ns, p.ns, p.output FROM instant a JOIN push p ON p.agent_id = a.agent_id AND p.seq <= a.tick_seq AND p.run = a.tick_run AND p.eligible AND p.seq > a.tick_seq - 1000
+  LEFT JOIN death d ON d.agent_id = p.agent_id AND d.seq = p.seq WHERE d.death IS NULL OR d.death > a.tick_seq),
+rates AS (SELECT agent_id, tick, CAST(coalesce(sum(output) FILTER (greatest(now_ns - ns, 0) <= 1000000000), 0) AS DOUBLE) AS out_tps,
+  CAST(sum(output) AS DOUBLE) / greatest(greatest(max(now_ns) - min(ns), 0) / 1e9, 1.0) AS avg_5s_out_tps FROM alive GROUP BY agent_id, tick),
+fact AS (SELECT agent_id, seq, collector_run_id AS run, observed_monotonic_ns AS ns, CAST(context_input AS DOUBLE) / 0.4 AS in_value FROM good WHERE seq % 3 = 0),
+span AS (SELECT agent_id, seq, output AS interval_tokens, CASE WHEN seq % 2 = 0 THEN 1.5 END AS interval_seconds, CASE WHEN seq % 2 = 0 THEN CAST(output AS DOUBLE) / 1.5 END AS interval_tps
+  FROM good WHERE NOT final AND temporal_accuracy = 'IntervalExact' AND output > 0),
+m AS (SELECT a.*, f.run, f.ns, f.in_value FROM instant a ASOF LEFT JOIN fact f ON a.agent_id = f.agent_id AND a.tick_seq >= f.seq),
+i AS (SELECT m.*, s.interval_tokens, s.interval_seconds, s.interval_tps FROM m ASOF LEFT JOIN span s ON m.agent_id = s.agent_id AND m.tick_seq >= s.seq),
+tps AS (SELECT i.agent_id, i.tick, coalesce(r.out_tps, 0) AS out_tps, coalesce(r.avg_5s_out_tps, 0) AS avg_5s_out_tps,
+  CASE WHEN run = tick_run AND greatest(now_ns - ns, 0) <= 1000000000 THEN in_value END AS in_tps, interval_tokens, CAST(interval_seconds AS DOUBLE) AS interval_seconds, interval_tps
+  FROM i LEFT JOIN rates r ON r.agent_id = i.agent_id AND r.tick = i.tick)"""
+)
+
+
 @query(
-    DELTAS
-    + """, i AS (SELECT * FROM firsts WHERE gap_state IN ('Normal', 'CatchUp') AND delta_output > 0 AND ((gap_state = 'CatchUp' AND event_kind <> 'Final') OR temporal_accuracy = 'IntervalExact')),
-j AS (SELECT agent_id, max(seq) AS seq FROM i GROUP BY agent_id)
-SELECT agent_id, delta_output AS tokens, CASE WHEN seq % 2 = 0 THEN 1.5 END AS seconds, CASE WHEN seq % 2 = 0 THEN CAST(delta_output AS DOUBLE) / 1.5 END AS tps FROM i JOIN j USING (agent_id, seq)"""
+    TICKS
+    + """ SELECT agent_id, tick, out_tps, avg_5s_out_tps, max(out_tps) OVER (PARTITION BY agent_id ORDER BY tick) AS peak_out_tps, in_tps,
+  CASE WHEN in_tps IS NULL THEN 'Unavailable' ELSE 'EffectiveMeasured' END AS in_kind, interval_tokens, interval_seconds, interval_tps FROM tps"""
 )
+def agent_tps(spark, sf_dir):
+    rows = fixture.samples(spark, sf_dir)
+    return meter(rows).kept().agent_tps(ticks(rows))
+
+
+@query(TICKS + " SELECT agent_id, max(out_tps) AS peak_out_tps FROM tps GROUP BY agent_id")
+def agent_peak(spark, sf_dir):
+    rows = fixture.samples(spark, sf_dir)
+    last = meter(rows).kept().agent_tps(ticks(rows)).groupBy("agent_id").agg(F.max_by("peak_out_tps", "tick").alias("peak_out_tps"))
+    return last.select("agent_id", "peak_out_tps")
+
+
+@query(TICKS + " SELECT agent_id, interval_tokens AS tokens, interval_seconds AS seconds, interval_tps AS tps FROM tps WHERE tick = (SELECT max(tick) FROM ticks)")
 def interval_avg(spark, sf_dir):
-    rows = reconcile.dedup_first(_live(spark, sf_dir)).filter("temporal_accuracy = 'IntervalExact' and delta_output > 0")
-    last = rows.groupBy("agent_id").agg(F.max_by(interval_metric(F.col("delta_output"), F.col("timing.measurement_interval_ms")), "seq").alias("i"))
-    return last.select("agent_id", F.col("i.tokens").alias("tokens"), F.col("i.seconds").alias("seconds"), F.col("i.tps").alias("tps"))
+    """Each agent's last interval at the last tick."""
+    rows = fixture.samples(spark, sf_dir)
+    last = meter(rows).kept().agent_tps(ticks(rows)).groupBy("agent_id").agg(F.max_by(F.struct("interval_tokens", "interval_seconds", "interval_tps"), "tick").alias("i"))
+    return last.select("agent_id", F.col("i.interval_tokens").alias("tokens"), F.col("i.interval_seconds").alias("seconds"), F.col("i.interval_tps").alias("tps"))
 
 
 def ticks(samples: DataFrame, every: int = 40) -> DataFrame:
@@ -240,16 +324,40 @@ def ticks(samples: DataFrame, every: int = 40) -> DataFrame:
     return at.select(F.floor(F.col("seq") / every).alias("tick"), F.col("seq").alias("tick_seq"), "collector_run_id", F.col("observed_monotonic_ns").alias("now_ns"))
 
 
-@query()
+@query(
+    TICKS
+    + """, g AS (SELECT tick, sum(out_tps) AS global_out_tps, sum(in_tps) AS global_in_tps, count(in_tps) AS in_coverage_measured, count(*) AS in_coverage_total,
+  count(*) FILTER (out_tps > 0) AS generating_agents, CAST(0 AS BIGINT) AS working_agents FROM tps GROUP BY tick)
+SELECT *, max(global_out_tps) OVER (ORDER BY tick) AS peak_out_tps FROM g"""
+)
 def global_metrics(spark, sf_dir):
     rows = fixture.samples(spark, sf_dir)
-    return meter(rows).global_metrics(ticks(rows))
+    return meter(rows).kept().global_metrics(ticks(rows))
 
 
-@query("WITH " + _prepared_sql("OpenAiStyle") + " SELECT agent_id, max_by(session_id, seq) AS session_id, max_by(event_kind, seq) AS event_kind, max(seq) AS seq FROM prep GROUP BY agent_id")
+_STATUS = ("agent_id", "agent_name", "model", "provider", "session_id", "source_adapter_id", "event_kind", "wall_timestamp_ms", "observed_monotonic_ns")
+
+
+@query(
+    "WITH "
+    + _prepared_sql("OpenAiStyle")
+    + """ SELECT agent_id, agent_id AS agent_name, 'm1' AS model, 'p1' AS provider, max_by(session_id, seq) AS session_id, max_by(source_adapter_id, seq) AS source_adapter_id,
+  max_by(event_kind, seq) AS event_kind, max(seq) * 250 AS wall_timestamp_ms, max_by(observed_monotonic_ns, seq) AS observed_monotonic_ns FROM prep GROUP BY agent_id"""
+)
 def agent_status(spark, sf_dir):
+    return rates.agent_status(fixture.samples(spark, sf_dir)).select(*_STATUS)
+
+
+@query(
+    TICKS
+    + """, s AS (SELECT agent_id, max_by(session_id, seq) AS session_id FROM prep GROUP BY agent_id)
+SELECT s.agent_id, s.session_id, t.out_tps, t.avg_5s_out_tps, t.in_tps FROM s LEFT JOIN (SELECT * FROM tps WHERE tick = (SELECT max(tick) FROM ticks)) t USING (agent_id)"""
+)
+def status_with_rates(spark, sf_dir):
+    """Agents with their rates at the last instant of query."""
     rows = fixture.samples(spark, sf_dir)
-    return rows.groupBy("agent_id").agg(F.max_by(F.struct("session_id", "event_kind", "seq"), "seq").alias("r")).select("agent_id", "r.*")
+    last = ticks(rows).orderBy(F.desc("tick")).limit(1)
+    return rates.status_with_rates(rates.agent_status(rows), meter(rows).kept().agent_tps(last)).select("agent_id", "session_id", "out_tps", "avg_5s_out_tps", "in_tps")
 
 
 def _orders(spark, sf_dir):

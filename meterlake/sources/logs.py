@@ -67,26 +67,45 @@ def default_root(*below: str) -> str:
 
 
 def discover(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """path, file_hash, size, modification_time of the files under root; contents are not read."""
+    """path, file_hash, size, modification_time of the files under root; contents are not read. No folder: no files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "path string, size long, modification_time timestamp, file_hash string")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modification_time"))
     return files.withColumn("file_hash", path_hash(F.regexp_replace("path", "^file:/*", "/")))
 
 
-def discover_rollouts(spark: SparkSession, root: str) -> DataFrame:
-    return discover(spark, os.path.join(root, "sessions"), "rollout-*.jsonl").orderBy("modification_time", "path")
+def by_age(files: DataFrame) -> DataFrame:
+    return files.orderBy("modification_time", "path")
 
 
-def discover_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    return discover(spark, root, "*.jsonl").orderBy("modification_time", "path")
+#: Where the sources lie below the home folder.
+ROLLOUTS, TRANSCRIPTS, USAGE = (".codex",), (".claude", "projects"), (".zcode", "cli")
 
 
-def discover_state_files(spark: SparkSession, root: str) -> DataFrame:
-    return discover(spark, root, "state_*.sqlite", recursive=False)
+def discover_rollouts(spark: SparkSession, root: str | None = None) -> DataFrame:
+    return by_age(discover(spark, os.path.join(root or default_root(*ROLLOUTS), "sessions"), "rollout-*.jsonl"))
 
 
-def environment_counts(spark: SparkSession, root: str) -> DataFrame:
-    return discover(spark, root, "*.jsonl", recursive=False).agg(F.count(F.lit(1)).alias("files"))
+def discover_transcripts(spark: SparkSession, root: str | None = None) -> DataFrame:
+    return by_age(discover(spark, root or default_root(*TRANSCRIPTS), "*.jsonl"))
+
+
+def discover_state_files(spark: SparkSession, root: str | None = None) -> DataFrame:
+    return discover(spark, root or default_root(*ROLLOUTS), "state_*.sqlite", recursive=False)
+
+
+def discover_usage_database(spark: SparkSession, root: str | None = None) -> DataFrame:
+    """The usage database: no row or one."""
+    return discover(spark, os.path.join(root or default_root(*USAGE), "db"), "db.sqlite", recursive=False)
+
+
+def environment_counts(spark: SparkSession, root: str | None = None) -> DataFrame:
+    """Files beside the usage database: of rollouts and of logs, not below."""
+    root = root or default_root(*USAGE)
+    counts = [discover(spark, os.path.join(root, name), "*.jsonl", recursive=False).agg(F.count(F.lit(1)).alias(f"{name}_files")) for name in ("rollout", "log")]
+    return counts[0].join(F.broadcast(counts[1]))  # one row each
 
 
 def _parsed(value: Column, schema: T.StructType) -> Column:
@@ -94,7 +113,8 @@ def _parsed(value: Column, schema: T.StructType) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return F.try_parse_json(value.cast("string")).isNotNull()
+    text = value.cast("string")
+    return F.coalesce(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
 def parse_rollouts(lines: DataFrame) -> DataFrame:
@@ -140,43 +160,68 @@ def _struct(schema: T.StructType, **given: Column) -> Column:
     return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def transcript_statistics(parsed: DataFrame) -> DataFrame:
+    """How many records were consumed, and what became of them; unresolved ones have no session or message and count as degraded."""
+    final, known = F.col("finality") == "AuthoritativeFinal", F.col("session").isNotNull() & F.col("message_id").isNotNull()
+    good = F.col("error").isNull()
+    return parsed.agg(
+        F.count(F.lit(1)).alias("consumed"),
+        F.count_if(~good).alias("errors"),
+        F.count_if(good & ~final).alias("placeholders"),
+        F.count_if(good & final & ~known).alias("unresolved"),
+        F.count_if(good & final & known).alias("finals"),
+    )
+
+
+def in_sequence(samples: DataFrame) -> DataFrame:
+    """Cumulative samples of files with what follows from the one before: interval and baseline mode.
+
+    The interval is the time since the file's sample before, a baseline included; the first sample of a file starts at
+    zero, later ones continue, and baselines stay baselines.
+    """
+    file = Window.partitionBy("agent_id", "session_id", "native_identity.file_path_hash").orderBy("seq")
+    counted = (F.col("measurement_kind") == "SnapshotDelta") & F.col("is_cumulative") & F.col("native_identity.file_path_hash").isNotNull()
+    before, now = F.lag("source_timestamp_ms").over(file), F.col("source_timestamp_ms")
+    rows = samples.withColumn("_first", F.row_number().over(file) == 1).withColumn("_interval", F.when(now > before, now - before))
+    mode = F.when(F.col("baseline_mode") == "ReplayRestore", F.col("baseline_mode")).when(F.col("_first"), "KnownZeroOrigin").otherwise("ContinuousEpoch")
+    timing = F.col("timing").withField("measurement_interval_ms", F.col("_interval"))
+    return rows.withColumns({"timing": F.when(counted, timing).otherwise(F.col("timing")), "baseline_mode": F.when(counted, mode).otherwise(F.col("baseline_mode"))}).drop("_first", "_interval")
+
+
 def rollout_samples(parsed: DataFrame, run_id: str = "batch") -> DataFrame:
-    """Cumulative samples of one request a file; the interval is the time since the file's sample before.
+    """Cumulative samples of one request a file, in order of seq.
 
-    Needs file_hash, offset, seq, observed_monotonic_ns. The first sample of a file starts at zero, later ones continue.
+    Needs file_hash, offset, seq, observed_monotonic_ns; a column baseline_mode marks baselines.
     """
     rows = parsed.filter("error is null")
-    file = Window.partitionBy("file_hash").orderBy("offset")
-    before = F.lag("timestamp_ms").over(file)
-    rows = rows.withColumn("interval_ms", F.when(F.col("timestamp_ms") > before, F.col("timestamp_ms") - before)).withColumn("nth", F.row_number().over(file))
-    mode = F.when(F.col("nth") == 1, "KnownZeroOrigin").otherwise("ContinuousEpoch")
-    if "baseline_mode" in parsed.columns:
-        mode = F.coalesce("baseline_mode", mode)
+    mode = F.col("baseline_mode") if "baseline_mode" in parsed.columns else F.lit(None)
     t = lambda n: F.col(f"total.{n}")
     usage = _struct(SAMPLE["raw_usage"].dataType, raw_input_tokens=t("input_tokens"), raw_output_tokens=t("output_tokens"), raw_cache_read_tokens=t("cached_input_tokens"), raw_cache_write_tokens=t("cache_write_input_tokens"), raw_reasoning_tokens=t("reasoning_output_tokens"), raw_total_tokens=t("total_tokens"))
-    return _sample(
-        rows,
-        "codex",
-        seq=F.col("seq"),
-        sample_id=F.concat("file_hash", F.lit("_"), "offset"),
-        collector_run_id=F.lit(run_id),
-        source_type=F.lit("JSONL"),
-        observed_monotonic_ns=F.col("observed_monotonic_ns"),
-        wall_timestamp_ms=F.col("timestamp_ms"),
-        source_timestamp_ms=F.col("timestamp_ms"),
-        session_id=F.concat(F.lit("codex_session_"), "file_hash"),
-        request_id=F.lit("session_cumulative"),
-        native_identity=_struct(SAMPLE["native_identity"].dataType, file_path_hash=F.col("file_hash"), byte_offset=F.col("offset")),
-        model=F.lit("unknown"),
-        provider=F.lit("openai"),
-        event_kind=F.lit("Snapshot"),
-        is_cumulative=F.lit(True),
-        is_final=F.lit(False),
-        raw_usage=usage,
-        timing=_struct(SAMPLE["timing"].dataType, measurement_interval_ms=F.col("interval_ms")),
-        temporal_accuracy=F.lit("IntervalExact"),
-        measurement_kind=F.lit("SnapshotDelta"),
-        baseline_mode=mode,
+    return in_sequence(
+        _sample(
+            rows,
+            "codex",
+            seq=F.col("seq"),
+            sample_id=F.concat("file_hash", F.lit("_"), "offset"),
+            collector_run_id=F.lit(run_id),
+            source_type=F.lit("JSONL"),
+            observed_monotonic_ns=F.col("observed_monotonic_ns"),
+            wall_timestamp_ms=F.col("timestamp_ms"),
+            source_timestamp_ms=F.col("timestamp_ms"),
+            session_id=F.concat(F.lit("codex_session_"), "file_hash"),
+            request_id=F.lit("session_cumulative"),
+            native_identity=_struct(SAMPLE["native_identity"].dataType, file_path_hash=F.col("file_hash"), byte_offset=F.col("offset")),
+            model=F.lit("unknown"),
+            provider=F.lit("openai"),
+            event_kind=F.lit("Snapshot"),
+            is_cumulative=F.lit(True),
+            is_final=F.lit(False),
+            raw_usage=usage,
+            timing=_struct(SAMPLE["timing"].dataType),
+            temporal_accuracy=F.lit("IntervalExact"),
+            measurement_kind=F.lit("SnapshotDelta"),
+            baseline_mode=mode,
+        )
     )
 
 
@@ -212,9 +257,9 @@ def transcript_samples(parsed: DataFrame, run_id: str = "batch") -> DataFrame:
 
 
 def usage_row_samples(rows: DataFrame, run_id: str = "batch") -> DataFrame:
-    """Final samples of the terminal rows of a usage table; negative counters count as 0."""
+    """Final samples of the terminal rows of a usage table; negative counters count as 0, missing ones stay missing."""
     rows = rows.filter(F.col("status").isin(*TERMINAL))
-    n = lambda c: F.greatest(F.col(c), F.lit(0))
+    n = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0)))
     usage = {"raw_input_tokens": n("input_tokens"), "raw_output_tokens": n("output_tokens"), "raw_cache_read_tokens": n("cache_read_input_tokens"), "raw_cache_write_tokens": n("cache_creation_input_tokens"), "raw_reasoning_tokens": n("reasoning_tokens"), "raw_total_tokens": F.coalesce("provider_total_tokens", "computed_total_tokens")}
     return _sample(
         rows,
