@@ -254,7 +254,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bearer = written(bearer, "bearers")
     texts = df.select(canonical(text_of(text_col)).alias("text"), F.col(id_col).alias("doc_id"), own_hash(text_col).alias("own")).select(F.unhex(F.md5("text")).alias("digest"), "doc_id", "own", "text")
     same = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("own") == F.col("o"))
-    texts = written(texts.join(bearer, same, "left_semi").select("digest", "text").dropDuplicates(["digest"]), "texts")
+    # A merge join at every size: the bearers grow with the input, so they are never sent to all tasks.
+    texts = written(texts.join(bearer.hint("merge"), same, "left_semi").select("digest", "text").dropDuplicates(["digest"]), "texts")
     discard(bearer)
 
     alike = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9  # else the union is too large
