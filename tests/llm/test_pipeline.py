@@ -105,8 +105,8 @@ def test_tables_lie_in_a_shared_folder(spark):
     out = common.written(spark.range(3).toDF("x"), "some")
     assert out._written.startswith(f"{named}/some-") and out.count() == 3
     common.discard(out)
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        assert common.shared_dir(spark).startswith(spark.conf.get("spark.sql.warehouse.dir")) or common.shared_dir(spark) == named
-    finally:
-        spark.conf.set("spark.checkpoint.dir", named)
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: {"spark.sql.warehouse.dir": "/shared/"}.get(name, default))})
+
+    assert common.shared_dir(Unset()) == "/shared/meterlake-intermediate"
