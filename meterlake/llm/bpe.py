@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import give_back, released, slices, text_of
+from meterlake.llm.common import give_back, mapped, slices, text_of
 
 MEMORY = 200_000
 #: Bytes of text that are encoded together.
@@ -233,7 +233,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 del flat, ends, ids
                 give_back()
 
-    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, ids array<int>, decoded string")
+    return mapped(df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digest_columns() -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meterlake.storage import discard, shared_dir, written
 
-__all__ = ["WS", "discard", "id_crc", "packed_search", "partitions", "released", "shared_dir", "slices", "table", "text_of", "text_slices", "written"]
+__all__ = ["WS", "discard", "id_crc", "mapped", "packed_search", "partitions", "released", "shared_dir", "slices", "small_batches", "table", "text_of", "text_slices", "written"]
 
 #: The six ASCII white-space characters, as a Java and Python regex.
 WS = r"[\x20\x09-\x0D]+"
@@ -48,6 +48,26 @@ def packed_search(packed: Column, n: int, width: int, key: Column) -> Column:
     )
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, and the setting that bounds it.
+BATCH, BATCH_SETTING = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by BATCH, in this session and unless it has a bound of its own.
+
+    Without it 10,000 rows go at once, which neither the worker nor the executor's direct memory gives back in full. A
+    longer text makes a batch of its own.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """mapInArrow in small batches, with a worker that gives its memory back."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(released(run), schema)
+
+
 def give_back() -> None:
     """Return what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import discard, id_crc, released, slices, text_of, written
+from meterlake.llm.common import discard, id_crc, mapped, slices, text_of, written
 
 STATES, OWN, HASHED = 8, 512, 2048
 CLASSES = OWN + HASHED + 1
@@ -181,7 +181,7 @@ def count_words(train: DataFrame) -> DataFrame:
                 at, names, _ = words_of(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64))], names=["word", "c"])
 
-    return train.select("text").mapInArrow(released(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return mapped(train.select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def common_words(counts: DataFrame) -> dict[str, int]:
@@ -243,7 +243,7 @@ def train_model(train: DataFrame, own: dict[str, int], rounds: int = ROUNDS) ->
                 counts += settle()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), *[pa.array(counts[:, s]) for s in range(STATES)]], names=["i", *columns])
 
-        summed = rows.select("text").mapInArrow(released(run), "i int, " + ", ".join(f"{c} double" for c in columns))
+        summed = mapped(rows.select("text"), run, "i int, " + ", ".join(f"{c} double" for c in columns))
         counts = np.zeros((CLASSES + STATES + 1, STATES))
         for r in summed.groupBy("i").agg(*[F.sum(c) for c in columns]).collect():  # one row for each class and state
             counts[r[0]] = r[1:]
@@ -304,7 +304,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 arrays.append(pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([spelled, pa.array(times.astype(np.int32))], ["word", "tf"])))
                 yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "trained", "n_tokens", "known", "logs", "inner", "rare"])
 
-    scored = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "trained").mapInArrow(released(run), f"rid long, doc_id {kind}, trained boolean, n_tokens long, known long, logs double, inner double, rare array<struct<word string, tf int>>")
+    scored = mapped(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "trained"), run, f"rid long, doc_id {kind}, trained boolean, n_tokens long, known long, logs double, inner double, rare array<struct<word string, tf int>>")
     scored = written(scored, "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.tf").join(counts, "word")
     rare = rare.groupBy("rid").agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_crc, released, slices, text_of
+from meterlake.llm.common import id_crc, mapped, slices, text_of
 
 DOCS, PART, DICT, TOTAL = 300, 1200, 98_304, 64 << 20
 CHUNK = 2048
@@ -94,7 +94,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id
             lang, score, margin, accepted = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "margin", "accepted"])
 
-    return df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double, margin double, accepted boolean")
+    return mapped(df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double, margin double, accepted boolean")
 
 
 def held_out_query(docs: DataFrame) -> DataFrame:

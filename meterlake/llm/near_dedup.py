@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import WS, discard, released, slices, text_of, written
+from meterlake.llm.common import WS, discard, mapped, slices, text_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -147,7 +147,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), bands], names=["doc_id", "digest", "own", "n", "bands"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), own_hash(text_col).alias("own")).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text", "own")
-    return rows.mapInArrow(released(run), f"doc_id {kind}, digest binary, own long, n int, bands array<long>")
+    return mapped(rows, run, f"doc_id {kind}, digest binary, own long, n int, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +171,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     ta = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(released(run), "a binary, b binary")
+    return mapped(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb"), run, "a binary, b binary")
 
 
 def across(rest: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

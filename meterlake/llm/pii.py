@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import released, slices
+from meterlake.llm.common import mapped, slices
 
 ROUNDS = 8
 #: Signs that are permuted together; a longer string is permuted stretch by stretch, each under what precedes it.
@@ -359,4 +359,4 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
                     entities.append([dict(zip(("start", "end", "kind", "surrogate"), f, strict=True)) for f in found])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(entities, pa.list_(span))], names=["doc_id", "text", "entities"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, text string, entities array<struct<start int, end int, kind string, surrogate string>>")
+    return mapped(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, text string, entities array<struct<start int, end int, kind string, surrogate string>>")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_crc, released, text_of, text_slices
+from meterlake.llm.common import id_crc, released, small_batches, text_of, text_slices
 
 ORDER, DECAY = 3, 0.6
 LANDMARKS, LANDMARK_CHARS = 40, 14
@@ -371,6 +371,7 @@ def score(df: DataFrame, model: Classifier | None, columns: list[str], text_col:
 
     Only the text goes to the Python worker and only the score comes back; the columns stay in the JVM.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -707,3 +708,26 @@ def test_hmm_recursions_by_enumeration():
                 else:
                     want[-1, s] += p / total
     assert np.allclose(counts, want)
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    from meterlake.llm.common import BATCH, BATCH_SETTING, mapped
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["b"])
+
+    texts = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    had = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        got = [r.b for r in mapped(texts, sizes, "b long").collect()]
+        assert spark.conf.get(BATCH_SETTING) == str(BATCH)
+        assert len(got) >= 4 and max(got) < 1.1 * BATCH
+        spark.conf.set(BATCH_SETTING, "1000000")
+        got = [r.b for r in mapped(texts, sizes, "b long").collect()]
+        assert spark.conf.get(BATCH_SETTING) == "1000000" and max(got) < 1_100_000
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+        if had is not None:
+            spark.conf.set(BATCH_SETTING, had)
