@@ -21,6 +21,7 @@ kinds every score is 0; repeated rows are scored alike; other columns are ignore
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import id_crc, released, small_batches, text_of, text_slices
+from meterlake.llm.common import give_back, id_crc, released, small_batches, text_of, text_slices
 
 ORDER, DECAY = 3, 0.6
 LANDMARKS, LANDMARK_CHARS = 40, 14
@@ -41,6 +42,8 @@ SHARPEN = 3
 TRAIN, TRAIN_CHARS = 2500, 20_000
 #: Bytes of text that are scored together, words whose stretches are looked at together, and stretches compared together.
 SLICE, WORDS, PAIRS = 4_000_000, 8192, 16_384
+#: Bytes of training text that the driver looks at together, and words whose stems it remembers.
+FIT_SLICE, HELD = 1_000_000, 50_000
 #: Words whose kernel values a task remembers.
 MEMORY = 300_000
 #: Letters that may stand between two of a landmark's.
@@ -285,12 +288,14 @@ def pooled(kernel: Kernel, texts: pa.Array) -> np.ndarray:
 def within(stems: list[str], texts: list[str]) -> dict[str, int]:
     """How many of the texts hold each stem anywhere in a word, as a landmark meets a word anywhere."""
     wanted, sizes = set(stems), sorted({len(w) for w in stems})
-    held: dict[str, frozenset[str]] = {}
+    held: dict[str, frozenset[str]] = {}  # forgotten when full
     count = Counter(dict.fromkeys(stems, 0))
     for text in texts:
         found: set[str] = set()
         for token in set(text.lower().split()):
             if token not in held:
+                if len(held) >= HELD:
+                    held.clear()
                 w = plain_word(token)
                 held[token] = frozenset(x for n in sizes for i in range(len(w) - n + 1) if (x := w[i : i + n]) in wanted)
             found |= held[token]
@@ -298,27 +303,42 @@ def within(stems: list[str], texts: list[str]) -> dict[str, int]:
     return dict(count)
 
 
+def landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """The words and stems that tell toxic from other texts best; only those of at least five toxic texts are counted in the others."""
+
+    def told(label: int) -> Iterator[set[str]]:
+        for text, y in zip(texts, toxic.tolist(), strict=True):
+            if y == label:
+                words = {w[:LANDMARK_CHARS] for w in map(plain_word, text.lower().split()) if len(w) > ORDER}
+                yield words | {w[:n] for w in words for n in STEMS}
+
+    seen = Counter()
+    for found in told(1):
+        seen.update(found)
+    seen = {w: n for w, n in seen.items() if n >= 5}
+    other = Counter()
+    for found in told(0):
+        other.update(found & seen.keys())
+    bad, good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    odds = {w: n * np.log(((n + 0.5) / bad) / ((other[w] + 0.5) / good)) for w, n in seen.items()}
+    inside = within([w for w in odds if odds[w] > 0], [t for t, y in zip(texts, toxic.tolist(), strict=True) if not y])
+    odds = {w: seen[w] * np.log(((seen[w] + 0.5) / bad) / ((n + 0.5) / good)) for w, n in inside.items()}
+    marks: list[str] = []
+    for w in sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], -len(w), w)):
+        if len(marks) < LANDMARKS and not any(w.startswith(m) or m.startswith(w) for m in marks):
+            marks.append(w)
+    return marks
+
+
 class Classifier:
     """Landmarks, Nystroem map, SVM weights and the logistic fit on its margin."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, weight: np.ndarray):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, label in zip(texts, toxic.tolist(), strict=True):
-            words = {w[:LANDMARK_CHARS] for w in map(plain_word, text.lower().split()) if len(w) > ORDER}
-            seen[label].update(words | {w[:n] for w in words for n in STEMS})
-        bad, good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-        odds = {w: n * np.log(((n + 0.5) / bad) / ((seen[0][w] + 0.5) / good)) for w, n in seen[1].items() if n >= 5}
-        inside = within([w for w in odds if odds[w] > 0], [t for t, y in zip(texts, toxic.tolist(), strict=True) if not y])
-        odds = {w: seen[1][w] * np.log(((seen[1][w] + 0.5) / bad) / ((n + 0.5) / good)) for w, n in inside.items()}
-        marks: list[str] = []
-        for w in sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], -len(w), w)):
-            if len(marks) < LANDMARKS and not any(w.startswith(m) or m.startswith(w) for m in marks):
-                marks.append(w)
-        self.kernel = Kernel(marks or ["toxic"])
+        self.kernel = Kernel(landmarks(texts, toxic) or ["toxic"])
         gram = (raw_kernel(self.kernel.rows, self.kernel.rows) / np.sqrt(np.outer(self.kernel.own, self.kernel.own))) ** SHARPEN
         values, vectors = np.linalg.eigh(gram.astype(np.float64))
         self.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        x = np.column_stack([pooled(self.kernel, pa.array(texts, pa.string())) @ self.map, np.ones(len(texts))])
+        x = np.column_stack([self.features(pa.array(texts, pa.string())), np.ones(len(texts))])
         y = 2.0 * toxic - 1
         self.w = np.zeros(x.shape[1])
         for _ in range(30):  # Newton's method on the squared hinge
@@ -340,6 +360,10 @@ class Classifier:
             theta = theta - np.clip(np.linalg.solve(hessian, gradient), -1, 1)
         self.a, self.b = theta
 
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Of all training texts, taken up in slices: the driver holds no more than the words of one at a time."""
+        return np.concatenate([np.zeros((0, len(self.map))), *(pooled(self.kernel, part) @ self.map for part in text_slices(texts, FIT_SLICE))])
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         margin = np.column_stack([pooled(self.kernel, texts) @ self.map, np.ones(len(texts))]) @ self.w
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
@@ -358,12 +382,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     words = F.array_join(F.array_distinct(F.split(F.lower(text_col), r"\s+")), " ")
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.when(F.length(text_col) <= TRAIN_CHARS, F.col(text_col)).otherwise(words).alias("t"))
     # The drawn ids are about 2 * TRAIN, whatever the input; repeated ids give one text.
-    rows = texts.join(F.broadcast(drawn), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y").collect()
-    if len({r[1] for r in rows}) < 2:
+    # As Arrow: the driver's JVM passes the batches on instead of making rows of them.
+    found = texts.join(F.broadcast(drawn), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    del found
+    if len({y for _, y in rows}) < 2:
         return None
-    rows.sort()
-    toxic = np.array([r[1] for r in rows])
-    return Classifier([r[0] for r in rows], toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
+    toxic = np.array([y for _, y in rows])
+    model = Classifier([t for t, _ in rows], toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
+    del rows
+    gc.collect()
+    give_back()  # the driver lives on through all later stages
+    return model
 
 
 def score(df: DataFrame, model: Classifier | None, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -401,6 +401,26 @@ def test_pooled_by_single_words():
         assert np.allclose(toxicity.pooled(kernel, pa.array(texts)), want, atol=1e-4)
 
 
+def test_toxicity_fit_takes_bounded_memory(monkeypatch):
+    """Of the driver: clean words are not counted, and the same model comes of small slices and a short memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join([*map("".join, rng.choice(letters, (400, 9))), "grumbolt" if i % 3 == 0 else "kind"]) for i in range(300)]
+    toxic = np.array([int(i % 3 == 0) for i in range(300)])
+    tracemalloc.start()
+    model = toxicity.Classifier(texts, toxic, np.ones(300))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * sum(map(len, texts)), peak
+    monkeypatch.setattr(toxicity, "FIT_SLICE", 10_000)
+    monkeypatch.setattr(toxicity, "HELD", 7)
+    again = toxicity.Classifier(texts, toxic, np.ones(300))
+    assert (again.kernel.rows == model.kernel.rows).all()
+    assert np.allclose([*again.w, again.a, again.b], [*model.w, model.a, model.b])
+
+
 def test_toxicity_forgets_and_goes_on(monkeypatch):
     import pyarrow as pa
 
